@@ -26,7 +26,7 @@ from gritstone.llm.simhash import RADIUS, RATIO, WORDS, _find, fingerprint, near
 #: labelled rows that the fit reads at most, those with the smallest hash of their id: a bound on fitting alone
 FIT_ROWS = 20_000
 PRIOR = 0.5
-Z = 3.0
+Z = 3.6
 #: log-odds that a word needs itself, besides the lower bound above the gap's cost
 MIN_ODDS = 3.0
 GAP = 0.25
