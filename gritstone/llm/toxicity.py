@@ -24,9 +24,9 @@ from gritstone.llm.shared import configure
 from gritstone.llm.simhash import RADIUS, RATIO, WORDS, _find, fingerprint, near_pairs
 
 #: labelled rows that the fit reads at most, those with the smallest hash of their id: a bound on fitting alone
-FIT_ROWS = 20_000
+FIT_ROWS = 8_000
 PRIOR = 0.5
-Z = 3.6
+Z = 3.2
 #: log-odds that a word needs itself, besides the lower bound above the gap's cost
 MIN_ODDS = 3.0
 GAP = 0.25
@@ -86,8 +86,8 @@ def scored(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, model.scores[k[hit]]
 
 
-def fit_arrays(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fp: np.ndarray, words_in: np.ndarray) -> Model:
-    """A model from the word hashes of documents, each word's document number, and the documents' labels, fingerprints and word counts."""
+def fit_arrays(h: np.ndarray, times: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fp: np.ndarray, words_in: np.ndarray) -> Model:
+    """A model with K = 1 from each document's distinct word hashes, how often it has them, and its label, fingerprint and length."""
     n = len(toxic)
     # copies of one text count once: near-equal fingerprints make a family, labels apart
     family = np.arange(n)
@@ -98,14 +98,14 @@ def fit_arrays(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fp: np.ndarray
             same = toxic[a] == toxic[b]
             _find(family, a[same], b[same])
     _, family = np.unique(family, return_inverse=True)
-    once = np.unique(np.stack([family[doc].astype(np.uint64), h], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-    label = np.zeros(family.max() + 1 if n else 1, bool)
+    label = np.zeros(int(family.max(initial=0)) + 1, bool)
     label[family] = toxic.astype(bool)
-    f, w = once[:, 0].astype(np.int64), once[:, 1]
-    words, inverse = np.unique(w, return_inverse=True)
-    y1 = np.bincount(inverse[label[f]], minlength=len(words)).astype(float)
-    y0 = np.bincount(inverse[~label[f]], minlength=len(words)).astype(float)
-    n1, n0 = float(label.sum()), float(len(label) - label.sum())
+    n1, n0 = float(label[: n or 0].sum()), float(len(label) * (n > 0) - label.sum())
+    _, first = np.unique(at.mix(h ^ at.mix(family[doc].astype(np.uint64))), return_index=True)
+    words, inverse = np.unique(h[first], return_inverse=True)
+    of = label[family[doc[first]]] if len(first) else np.zeros(0, bool)
+    y1 = np.bincount(inverse[of], minlength=len(words)).astype(float)
+    y0 = np.bincount(inverse[~of], minlength=len(words)).astype(float)
     # families that have the word and that lack it, with the same prior counts in both classes
     a = PRIOR
     delta = np.log((y1 + a) / (n1 - y1 + a)) - np.log((y0 + a) / (n0 - y0 + a))
@@ -113,24 +113,22 @@ def fit_arrays(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fp: np.ndarray
     low = np.where((n1 > 0) & (n0 > 0), np.minimum(low, CAP), 0)
     keep = (low > GAP) & (delta >= MIN_ODDS)
     hashes, scores = words[keep], low[keep]
-    # calibration over the clean documents: how often a scored word stands in them, plus one pseudo-count a word
-    k = np.searchsorted(hashes, h) if len(hashes) else np.zeros(len(h), np.int64)
+    # how often a scored word stands in the clean documents, with half a pseudo-count a word
     clean = ~toxic.astype(bool)[doc] if n else np.zeros(0, bool)
-    known = (hashes[np.minimum(k, len(hashes) - 1)] == h) & clean if len(hashes) else np.zeros(len(h), bool)
-    seen = np.bincount(k[known], minlength=len(hashes)) + 0.5 if len(hashes) else np.zeros(0)
-    total = float(clean.sum()) + seen.sum() + 1.0
-    lam = _lambda(scores, seen / total, GAP)
-    best = 1.0
-    rates = []
-    model = Model(hashes, scores, lam, 1.0)
-    if len(hashes) and known.any():
-        edges = np.searchsorted(doc, np.arange(n + 1))
-        for i in np.unique(doc[known]):
-            top = max((s for *_, s in sparse_segments(*scored(model, h[edges[i] : edges[i + 1]]), GAP)), default=0.0)
-            rates.append(np.exp(lam * top) / max(1, edges[i + 1] - edges[i]))
-        # K by moments: the mean of n exp(-lambda S) K over the clean texts with a segment is their share of all clean texts
-        best = float(np.exp(np.mean(np.log(rates))) * len(rates) / max(1, int((~toxic.astype(bool)).sum())))
-    return Model(hashes, scores, lam, float(np.clip(best, 0.1, 1.0)))
+    k = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+    known = clean & (hashes[k] == h) if len(hashes) else np.zeros(len(h), bool)
+    seen = np.bincount(k[known], weights=times[known], minlength=len(hashes)) + 0.5
+    total = float(times[clean].sum()) + seen.sum() + 1.0
+    return Model(hashes, scores, _lambda(scores, seen[: len(hashes)] / total, GAP), 1.0)
+
+
+def calibrated(model: Model, n: np.ndarray, top: np.ndarray) -> Model:
+    """The model with K by moments from clean texts' word counts and best scores: 1 where none of them has a segment."""
+    on = top > 0
+    if not on.any():
+        return model
+    k = np.exp(np.mean(model.lam * top[on] - np.log(np.maximum(n[on], 1)))) * on.mean()
+    return Model(model.hashes, model.scores, model.lam, float(np.clip(k, 0.1, 1.0)), model.gap)
 
 
 def _lambda(scores: np.ndarray, p: np.ndarray, gap: float) -> float:
@@ -158,21 +156,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = known.orderBy(F.xxhash64("__i"), "__i").limit(fit_rows)
     texts = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).where("__i is not null and __t is not null")
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<h:array<bigint>,c:array<int>>")
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in batches:
             h, _, _, doc = at.tokens(*at.bytes_of(arr))
-            count = np.bincount(doc, minlength=len(arr))
-            yield pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
-
-    rows = texts.join(F.broadcast(picked), "__i").select("__y", "__i", words(F.col("__t")).alias("__w"), fingerprint(F.col("__t")).alias("__f")).distinct().toArrow()
-    fields = rows["__f"].combine_chunks()
-    rows = rows.append_column("__n", pc.fill_null(pc.struct_field(fields, "n"), 0)).sort_by([("__i", "ascending"), ("__n", "ascending")])
-    lists, fields = rows["__w"].combine_chunks(), rows["__f"].combine_chunks()
-    h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    doc = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()).astype(np.int64)) if len(lists) else np.zeros(0, np.int64)
-    fp = np.stack([pc.fill_null(pc.struct_field(fields, f"f{k}"), 0).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)], axis=1)
-    return fit_arrays(h, doc, (rows["__y"].to_numpy() > 0).astype(np.int64), fp, rows["__n"].to_numpy())
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            edges = pa.array(np.searchsorted(doc[first], np.arange(len(arr) + 1)).astype(np.int32))
+            count = np.diff(np.append(first, len(h))).astype(np.int32)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(edges, pa.array(h[first].view(np.int64))), pa.ListArray.from_arrays(edges, pa.array(count))], names=["h", "c"])
+
+    sample = texts.join(F.broadcast(picked), "__i").distinct()
+    rows = sample.select("__y", "__i", words(F.col("__t")).alias("__w"), fingerprint(F.col("__t")).alias("__f")).select("__y", "__i", "__w.h", "__w.c", "__f.*").toArrow()
+    rows = rows.sort_by([("__i", "ascending"), ("n", "ascending")]).combine_chunks()
+    whole = lambda c: pc.fill_null(rows[c], 0).to_numpy().astype(np.int64)
+    flat = lambda c: pc.list_flatten(rows[c]).combine_chunks().to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(rows)), pc.list_value_length(rows["h"]).to_numpy().astype(np.int64)) if len(rows) else np.zeros(0, np.int64)
+    fp = np.stack([whole(f"f{k}").view(np.uint64) for k in range(WORDS)], axis=1)
+    model = fit_arrays(flat("h").astype(np.int64).view(np.uint64), flat("c"), doc, (whole("__y") > 0).astype(np.int64), fp, whole("n"))
+    if not len(model.hashes):
+        return model
+    # once more over the clean part of the sample, for K
+    best = sample.where("__y <= 0").select(toxicity(F.col("__t"), model, 0.0).alias("__s")).select("__s.n", "__s.score").toArrow()
+    return calibrated(model, best["n"].to_numpy(), best["score"].to_numpy())
 
 
 def scan(model: Model, data: np.ndarray, offsets: np.ndarray, p_value: float = P_VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple]]]:
