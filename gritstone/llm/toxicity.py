@@ -5,13 +5,15 @@ taken at its lower confidence bound, so that rare words and words of one copied
 ``GAP``. Scan (over all texts, whole): the linear-time algorithm of Ruzzo and Tompa gives all maximal scoring segments.
 Calibration: Karlin-Altschul statistics. lambda solves E[exp(lambda s)] = 1 over the words of clean documents, K is set by
 the clean sample, and a segment of score S in a text of n words has E = K n exp(-lambda S); p = 1 - exp(-E). A
-text's p-value is that of its best segment, the extreme value over the text; it is toxic if that is below ``P_VALUE``.
+text's p-value is that of its best segments together, by the sum statistics of the same extreme-value law; it is toxic if
+that is below ``P_VALUE``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from gritstone.llm.simhash import RADIUS, RATIO, WORDS, _find, fingerprint, near
 FIT_ROWS = 8_000
 PRIOR = 0.5
 Z = 3.2
+#: part of the toxic families that a word must occur in: what fewer share is their subject, not their tone
+MIN_SHARE = 0.02
 #: log-odds that a word needs itself, besides the lower bound above the gap's cost
 MIN_ODDS = 3.0
 GAP = 0.25
@@ -111,7 +115,7 @@ def fit_arrays(h: np.ndarray, times: np.ndarray, doc: np.ndarray, toxic: np.ndar
     delta = np.log((y1 + a) / (n1 - y1 + a)) - np.log((y0 + a) / (n0 - y0 + a))
     low = delta - Z * np.sqrt(1 / (y1 + a) + 1 / (y0 + a))
     low = np.where((n1 > 0) & (n0 > 0), np.minimum(low, CAP), 0)
-    keep = (low > GAP) & (delta >= MIN_ODDS)
+    keep = (low > GAP) & (delta >= MIN_ODDS) & (y1 >= MIN_SHARE * n1)
     hashes, scores = words[keep], low[keep]
     # how often a scored word stands in the clean documents, with half a pseudo-count a word
     clean = ~toxic.astype(bool)[doc] if n else np.zeros(0, bool)
@@ -184,6 +188,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return calibrated(model, best["n"].to_numpy(), best["score"].to_numpy())
 
 
+def text_p(model: Model, n: int, tops: np.ndarray) -> float:
+    """p-value of a text of n words from its segments' scores in falling order.
+
+    For the best r segments together, Karlin and Altschul's sum statistic: with t the sum of lambda S - ln(K n) over them,
+    p = exp(-t) t**(r - 1) / (r! (r - 1)!). The smallest over r counts, each weighted with 2**-r for the choice of r.
+    """
+    best = float(-np.expm1(-model.k * n * np.exp(-model.lam * tops[0])))
+    t = np.cumsum(model.lam * tops - np.log(model.k * n))
+    for r in range(2, len(tops) + 1):
+        x = t[r - 1]
+        if x > r * (r + 1) / 2:
+            log_p = -x + (r - 1) * np.log(x) - lgamma(r + 1) - lgamma(r) + r * log(2)
+            best = min(best, exp(min(log_p, 0.0)))
+        elif x < t[r - 2]:
+            break
+    return best
+
+
 def scan(model: Model, data: np.ndarray, offsets: np.ndarray, p_value: float = P_VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple]]]:
     """Words, best score, p-value and significant segments of each text; segments are in characters of the text's words."""
     n = len(offsets) - 1
@@ -196,10 +218,11 @@ def scan(model: Model, data: np.ndarray, offsets: np.ndarray, p_value: float = P
         hit, val = scored(model, h)
         for d in np.unique(doc[hit]):
             a, b = np.searchsorted(hit, (first[d], first[d] + count[d]))
-            for lo, hi, x in sparse_segments(hit[a:b] - first[d], val[a:b], model.gap):
+            segs = sparse_segments(hit[a:b] - first[d], val[a:b], model.gap)
+            tops = np.array(sorted((x for *_, x in segs), reverse=True))
+            score[i + d], p[i + d] = tops[0], text_p(model, int(count[d]), tops)
+            for lo, hi, x in segs:
                 px = -np.expm1(-model.k * count[d] * np.exp(-model.lam * x))
-                if x > score[i + d]:
-                    score[i + d], p[i + d] = x, px
                 if px < p_value:
                     found[i + d].append((lo, hi, x, float(px)))
     return words, score, p, found
