@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.llm import decontam, linededup, pieces, simhash, toxicity
+from gritstone.llm import decontam, langid, linededup, media, pieces, pii, secrets, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.pictures(_read(spark, sf_dir, "embeddings")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -22,11 +26,23 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaked_passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_read(spark, sf_dir, "documents"), count_col="lines_removed")
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
@@ -35,13 +51,22 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(_read(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media": op1_media,
         "op2_toxicity": op2_toxicity,
         "op3_decontamination": op3_decontamination,
+        "op4_pii": op4_pii,
         "op5_line_dedup": op5_line_dedup,
+        "op6_sharding": op6_sharding,
+        "op7_secrets": op7_secrets,
         "op8_simhash": op8_simhash,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_language": op10_language,
     }
 
 
