@@ -77,6 +77,15 @@ def groups_by_bytes(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]
         i = j
 
 
+def stems(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Hash and string number of each token, and the hashes of its first ``lengths`` bytes, its own hash where it is no longer than these."""
+    parts = [_segment(data, offsets, a, b, lengths) for a, b in _cuts(data, offsets)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in lengths]
+    h, s, _, *p = (np.concatenate(x) for x in zip(*parts))
+    return h, np.searchsorted(offsets, s, "right") - 1, p
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte, end byte and string number of each token, in order."""
     parts = [_segment(data, offsets, a, b) for a, b in _cuts(data, offsets)]
@@ -106,7 +115,7 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _segment(data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segment(data: np.ndarray, offsets: np.ndarray, a: int, b: int, lengths: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     raw = data[a:b]
     v = _LUT[raw]
     after = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
@@ -125,7 +134,8 @@ def _segment(data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.
     power, inverse = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(v * power[: len(raw)], out=sums[1:])
-    return mix((sums[e] - sums[s]) * inverse[s] ^ (e - s).astype(np.uint64)), s + a, e + a
+    upto = lambda end: mix((sums[end] - sums[s]) * inverse[s] ^ (end - s).astype(np.uint64))
+    return upto(e), s + a, e + a, *[upto(np.minimum(e, s + n)) for n in lengths]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -1,10 +1,9 @@
 """Toxicity: every significant toxic passage, by maximum-scoring segments over token log-odds.
 
-Fit (on a bounded sample of labelled rows): each word's log-odds between toxic and clean documents under a Dirichlet prior,
-taken at its lower confidence bound, so that rare words and words of one copied text stay neutral; all other words cost
-``GAP``. Scan (over all texts, whole): the linear-time algorithm of Ruzzo and Tompa gives all maximal scoring segments.
-Calibration: Karlin-Altschul statistics. lambda solves E[exp(lambda s)] = 1 over the words of clean documents, K is set by
-the clean sample, and a segment of score S in a text of n words has E = K n exp(-lambda S); p = 1 - exp(-E). A
+Fit (on a bounded sample of labelled rows): the log-odds of each word, and of each word's beginnings, between toxic and clean
+documents under a Dirichlet prior, taken at the lower confidence bound, so that rare words and words of one copied text stay
+neutral. A word scores as the best of itself and its beginnings (an insult with any ending is one); all other words cost ``GAP``. Scan (over all texts, whole): the linear-time algorithm of Ruzzo and Tompa gives all maximal scoring segments.
+Calibration: Karlin-Altschul statistics. lambda solves E[exp(lambda s)] = 1 over the words of the clean sample, which sets K too, and a segment of score S in a text of n words has E = K n exp(-lambda S); p = 1 - exp(-E). A
 text's p-value is that of its best segments together, by the sum statistics of the same extreme-value law; it is toxic if
 that is below ``P_VALUE``.
 """
@@ -32,7 +31,9 @@ Z = 3.2
 #: part of the toxic families that a word must occur in: what fewer share is their subject, not their tone
 MIN_SHARE = 0.02
 #: log-odds that a word needs itself, besides the lower bound above the gap's cost
-MIN_ODDS = 3.0
+MIN_ODDS = 2.0
+#: beginnings of words, in bytes
+STEMS = (4, 5, 6, 7, 8)
 GAP = 0.25
 CAP = 8.0
 P_VALUE = 1e-3
@@ -81,17 +82,20 @@ def sparse_segments(at_: np.ndarray, score: np.ndarray, gap: float) -> list[tupl
     return [(int(at_[a // 2]), int(at_[(b - 1) // 2]) + 1, s) for a, b, s in segments(merged)]
 
 
-def scored(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the words with a positive score, and the scores."""
-    if not len(model.hashes) or not len(h):
-        return np.zeros(0, np.int64), np.zeros(0)
-    k = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
-    hit = np.flatnonzero(model.hashes[k] == h)
-    return hit, model.scores[k[hit]]
+def scored(model: Model, h: np.ndarray, stems: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words with a positive score, and the scores: of each word the best of its own and its beginnings'."""
+    best = np.zeros(len(h))
+    if len(model.hashes) and len(h):
+        for x in (h, *stems):
+            k = np.minimum(np.searchsorted(model.hashes, x), len(model.hashes) - 1)
+            hit = np.flatnonzero(model.hashes[k] == x)
+            best[hit] = np.maximum(best[hit], model.scores[k[hit]])
+    hit = np.flatnonzero(best > 0)
+    return hit, best[hit]
 
 
-def fit_arrays(h: np.ndarray, times: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fp: np.ndarray, words_in: np.ndarray) -> Model:
-    """A model with K = 1 from each document's distinct word hashes, how often it has them, and its label, fingerprint and length."""
+def fit_arrays(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fp: np.ndarray, words_in: np.ndarray) -> Model:
+    """A model, not calibrated, from each document's distinct word hashes, and its label, fingerprint and length."""
     n = len(toxic)
     # copies of one text count once: near-equal fingerprints make a family, labels apart
     family = np.arange(n)
@@ -116,23 +120,19 @@ def fit_arrays(h: np.ndarray, times: np.ndarray, doc: np.ndarray, toxic: np.ndar
     low = delta - Z * np.sqrt(1 / (y1 + a) + 1 / (y0 + a))
     low = np.where((n1 > 0) & (n0 > 0), np.minimum(low, CAP), 0)
     keep = (low > GAP) & (delta >= MIN_ODDS) & (y1 >= MIN_SHARE * n1)
-    hashes, scores = words[keep], low[keep]
-    # how often a scored word stands in the clean documents, with half a pseudo-count a word
-    clean = ~toxic.astype(bool)[doc] if n else np.zeros(0, bool)
-    k = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-    known = clean & (hashes[k] == h) if len(hashes) else np.zeros(len(h), bool)
-    seen = np.bincount(k[known], weights=times[known], minlength=len(hashes)) + 0.5
-    total = float(times[clean].sum()) + seen.sum() + 1.0
-    return Model(hashes, scores, _lambda(scores, seen[: len(hashes)] / total, GAP), 1.0)
-
-
-def calibrated(model: Model, n: np.ndarray, top: np.ndarray) -> Model:
-    """The model with K by moments from clean texts' word counts and best scores: 1 where none of them has a segment."""
+    return Model(words[keep], low[keep], 1.0, 1.0)
+
+
+def calibrated(model: Model, n: np.ndarray, top: np.ndarray, values: np.ndarray, counts: np.ndarray) -> Model:
+    """The model with lambda and K from clean texts: word counts, best segments' scores, and how many words have each score.
+
+    Each scored word has half a pseudo-count. K is by moments, and 1 where none of the texts has a segment.
+    """
+    seen = np.concatenate([counts, np.full(len(model.scores), 0.5)])
+    lam = _lambda(np.concatenate([values, model.scores]), seen / (n.sum() + seen.sum() + 1.0), model.gap)
     on = top > 0
-    if not on.any():
-        return model
-    k = np.exp(np.mean(model.lam * top[on] - np.log(np.maximum(n[on], 1)))) * on.mean()
-    return Model(model.hashes, model.scores, model.lam, float(np.clip(k, 0.1, 1.0)), model.gap)
+    k = np.clip(np.exp(np.mean(lam * top[on] - np.log(np.maximum(n[on], 1)))) * on.mean(), 0.1, 1.0) if on.any() else 1.0
+    return Model(model.hashes, model.scores, lam, float(k), model.gap)
 
 
 def _lambda(scores: np.ndarray, p: np.ndarray, gap: float) -> float:
@@ -160,32 +160,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = known.orderBy(F.xxhash64("__i"), "__i").limit(fit_rows)
     texts = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).where("__i is not null and __t is not null")
 
-    @F.arrow_udf("struct<h:array<bigint>,c:array<int>>")
+    @F.arrow_udf("array<bigint>")
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in batches:
-            h, _, _, doc = at.tokens(*at.bytes_of(arr))
+            h, doc, stems = at.stems(*at.bytes_of(arr), STEMS)
+            h, doc = np.concatenate([h, *stems]), np.tile(doc, 1 + len(STEMS))
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(new)
-            edges = pa.array(np.searchsorted(doc[first], np.arange(len(arr) + 1)).astype(np.int32))
-            count = np.diff(np.append(first, len(h))).astype(np.int32)
-            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(edges, pa.array(h[first].view(np.int64))), pa.ListArray.from_arrays(edges, pa.array(count))], names=["h", "c"])
+            h, doc = h[new], doc[new]
+            yield pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(arr) + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
 
     sample = texts.join(F.broadcast(picked), "__i").distinct()
-    rows = sample.select("__y", "__i", words(F.col("__t")).alias("__w"), fingerprint(F.col("__t")).alias("__f")).select("__y", "__i", "__w.h", "__w.c", "__f.*").toArrow()
+    rows = sample.select("__y", "__i", words(F.col("__t")).alias("h"), fingerprint(F.col("__t")).alias("__f")).select("__y", "__i", "h", "__f.*").toArrow()
     rows = rows.sort_by([("__i", "ascending"), ("n", "ascending")]).combine_chunks()
     whole = lambda c: pc.fill_null(rows[c], 0).to_numpy().astype(np.int64)
-    flat = lambda c: pc.list_flatten(rows[c]).combine_chunks().to_numpy(zero_copy_only=False)
+    h = pc.list_flatten(rows["h"]).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     doc = np.repeat(np.arange(len(rows)), pc.list_value_length(rows["h"]).to_numpy().astype(np.int64)) if len(rows) else np.zeros(0, np.int64)
     fp = np.stack([whole(f"f{k}").view(np.uint64) for k in range(WORDS)], axis=1)
-    model = fit_arrays(flat("h").astype(np.int64).view(np.uint64), flat("c"), doc, (whole("__y") > 0).astype(np.int64), fp, whole("n"))
+    model = fit_arrays(h, doc, (whole("__y") > 0).astype(np.int64), fp, whole("n"))
     if not len(model.hashes):
         return model
-    # once more over the clean part of the sample, for K
-    best = sample.where("__y <= 0").select(toxicity(F.col("__t"), model, 0.0).alias("__s")).select("__s.n", "__s.score").toArrow()
-    return calibrated(model, best["n"].to_numpy(), best["score"].to_numpy())
+
+    @F.arrow_udf("struct<n:int,top:double,s:array<double>>")
+    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in batches:
+            n, top, _, _, s, edges = scan(model, *at.bytes_of(arr), 0.0)
+            yield pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.array(top), pa.ListArray.from_arrays(edges.astype(np.int32), pa.array(s))], names=["n", "top", "s"])
+
+    # once more over the clean part of the sample
+    clean = sample.where("__y <= 0").select(marked(F.col("__t")).alias("m")).select("m.*").toArrow().combine_chunks()
+    values, counts = np.unique(pc.list_flatten(clean["s"]).to_numpy(), return_counts=True)
+    return calibrated(model, clean["n"].to_numpy(), clean["top"].to_numpy(), values, counts)
 
 
 def text_p(model: Model, n: int, tops: np.ndarray) -> float:
@@ -206,16 +213,19 @@ def text_p(model: Model, n: int, tops: np.ndarray) -> float:
     return best
 
 
-def scan(model: Model, data: np.ndarray, offsets: np.ndarray, p_value: float = P_VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple]]]:
-    """Words, best score, p-value and significant segments of each text; segments are in characters of the text's words."""
+def scan(model: Model, data: np.ndarray, offsets: np.ndarray, p_value: float = P_VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple]], np.ndarray, np.ndarray]:
+    """Words, best score, p-value and significant segments (word ranges) of each text; then the scores of all scored words and the texts' edges in these."""
     n = len(offsets) - 1
+    values, marks = [np.zeros(0)], np.zeros(n, np.int64)
     words, score, p, found = np.zeros(n, np.int64), np.zeros(n), np.ones(n), [[] for _ in range(n)]
     for i, j in at.groups_by_bytes(offsets, 1 << 20):
-        h, s, e, doc = at.tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        h, doc, stems = at.stems(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], STEMS)
         count = np.bincount(doc, minlength=j - i)
         words[i:j] = count
         first = np.cumsum(count) - count
-        hit, val = scored(model, h)
+        hit, val = scored(model, h, stems)
+        values.append(val)
+        marks[i:j] = np.bincount(doc[hit], minlength=j - i)
         for d in np.unique(doc[hit]):
             a, b = np.searchsorted(hit, (first[d], first[d] + count[d]))
             segs = sparse_segments(hit[a:b] - first[d], val[a:b], model.gap)
@@ -225,7 +235,7 @@ def scan(model: Model, data: np.ndarray, offsets: np.ndarray, p_value: float = P
                 px = -np.expm1(-model.k * count[d] * np.exp(-model.lam * x))
                 if px < p_value:
                     found[i + d].append((lo, hi, x, float(px)))
-    return words, score, p, found
+    return words, score, p, found, np.concatenate(values), np.concatenate([[0], np.cumsum(marks)])
 
 
 def toxicity(text: Column, model: Model, p_value: float = P_VALUE) -> Column:
@@ -237,7 +247,7 @@ def toxicity(text: Column, model: Model, p_value: float = P_VALUE) -> Column:
     @F.arrow_udf(_RESULT)
     def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in batches:
-            words, score, p, found = scan(model, *at.bytes_of(arr), p_value)
+            words, score, p, found, _, _ = scan(model, *at.bytes_of(arr), p_value)
             flat = [x for seg in found for x in seg]
             seg = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), pa.array([float(x[2]) for x in flat], pa.float64()), pa.array([x[3] for x in flat], pa.float64())], names=["start", "stop", "score", "p"])
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32), seg)
