@@ -585,6 +585,6 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     big = docs.where(F.length(text_col) >= giant)
     once = big.select(key.alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
     made = encode_giants(once, model, size)
-    back = big.withColumn("__key", key).join(made.withColumnRenamed("ids", "__ids"), F.col("__key") == F.col("key"))
+    back = big.withColumn("__key", key).join(made.select(F.col("key").alias("__made"), F.col("ids").alias("__ids")), F.col("__key") == F.col("__made"))
     big = back.select(*cols, F.col("__ids").alias("ids"), decoded(F.col("__ids"), model).eqNullSafe(F.col(text_col)).alias("lossless"))
     return small.unionByName(big).select(*cols, "ids", F.size("ids").alias("n_tokens"), "lossless")
