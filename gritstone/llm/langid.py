@@ -85,7 +85,7 @@ class Coder:
         table = np.zeros((len(self.langs), int(edge[-1]), KINDS), np.uint32)
         for lang, per in enumerate(model.counts):
             table[lang] = np.rint(self._costs(per, contexts, edge) * UNIT)
-        flat = table.reshape(len(self.langs), -1).astype(np.uint64)
+        flat = table.reshape(len(self.langs), int(edge[-1]) * KINDS).astype(np.uint64)
         #: two languages in one word
         self.pairs = [flat[i] | (flat[i + 1] << np.uint64(32) if i + 1 < len(flat) else np.uint64(0)) for i in range(0, len(flat), 2)]
 
