@@ -49,6 +49,8 @@ class Model:
     lam: float
     k: float
     gap: float = GAP
+    #: 1 / how many features stand in the same families, as a word and its beginnings do
+    alike: np.ndarray | None = None
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -120,15 +122,18 @@ def fit_arrays(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fp: np.ndarray
     low = delta - Z * np.sqrt(1 / (y1 + a) + 1 / (y0 + a))
     low = np.where((n1 > 0) & (n0 > 0), np.minimum(low, CAP), 0)
     keep = (low > GAP) & (delta >= MIN_ODDS) & (y1 >= MIN_SHARE * n1)
-    return Model(words[keep], low[keep], 1.0, 1.0)
+    sign = np.zeros(len(words), np.uint64)
+    np.add.at(sign, inverse, at.mix(family[doc[first]].astype(np.uint64)))
+    _, same, size = np.unique(sign[keep], return_inverse=True, return_counts=True)
+    return Model(words[keep], low[keep], 1.0, 1.0, alike=1 / size[same])
 
 
 def calibrated(model: Model, n: np.ndarray, top: np.ndarray, values: np.ndarray, counts: np.ndarray) -> Model:
     """The model with lambda and K from clean texts: word counts, best segments' scores, and how many words have each score.
 
-    Each scored word has half a pseudo-count. K is by moments, and 1 where none of the texts has a segment.
+    Each scored word, with its beginnings, has half a pseudo-count. K is by moments, and 1 where none of the texts has a segment.
     """
-    seen = np.concatenate([counts, np.full(len(model.scores), 0.5)])
+    seen = np.concatenate([counts, 0.5 * (np.ones(len(model.scores)) if model.alike is None else model.alike)])
     lam = _lambda(np.concatenate([values, model.scores]), seen / (n.sum() + seen.sum() + 1.0), model.gap)
     on = top > 0
     k = np.clip(np.exp(np.mean(lam * top[on] - np.log(np.maximum(n[on], 1)))) * on.mean(), 0.1, 1.0) if on.any() else 1.0
