@@ -131,8 +131,7 @@ def tree_dump(node: ast.AST) -> str:
 def functions(sources: DataFrame, min_loc: int = 1) -> DataFrame:
     """Functions and classes of at least ``min_loc`` executable lines, breadth first, without ``__init__``.
 
-    Ordered by path and place: ``ord`` numbers rows within the table by (path, place), as (file, place in file) does; hashes are
-    made in the JVM.
+    ``ord`` numbers all rows by directory, file and place in the file. Hashes are made in the JVM.
     """
 
     def rows_of(path: str, source: str, tree: ast.Module) -> list[tuple]:
@@ -146,10 +145,13 @@ def functions(sources: DataFrame, min_loc: int = 1) -> DataFrame:
 
     rows = _scan(sources, rows_of, "file string, place int, name string, kind string, start_line int, end_line int, loc int, dump string, text string, text_for_embedding string, ast_text string, docstring string")
     hashed = rows.withColumn("hash", T.content_hash(F.col("dump"))).withColumn("text_hash", T.content_hash(F.col("text_for_embedding"))).drop("dump")
-    # files are numbered, a narrow column; functions then follow from their place in the file
-    base = hashed.groupBy("file").agg((F.max("place") + 1).alias("n"))
-    before = base.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return hashed.join(before, "file").withColumn("ord", (F.col("before") + F.col("place")).cast("bigint")).drop("before", "place")
+    # a function's number is what its directory, its file and itself have before them: only the directories meet in one task
+    folder = F.regexp_replace("file", "[^/]*$", "")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = hashed.groupBy("file").agg((F.max("place") + 1).alias("n")).withColumn("folder", folder)
+    folders = files.groupBy("folder").agg(F.sum("n").alias("n")).select("folder", before(Window.orderBy("folder")).alias("base"))
+    offsets = files.withColumn("own", before(Window.partitionBy("folder").orderBy("file"))).join(folders, "folder").select("file", (F.col("base") + F.col("own")).alias("before"))
+    return hashed.join(offsets, "file").withColumn("ord", (F.col("before") + F.col("place")).cast("bigint")).drop("before", "place")
 
 
 def distinct_functions(rows: DataFrame) -> DataFrame:
