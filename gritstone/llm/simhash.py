@@ -2,7 +2,7 @@
 
 A fingerprint sums the signed bits of all word pairs of a text. Two texts are near copies if their fingerprints differ in
 at most ``radius`` bits and the shorter has at least ``ratio`` of the longer's words; groups are the connected components.
-Every pair that can qualify is compared: tiles are ordered by word count and population count, and a pair of tiles is
+Every pair that can qualify is compared: rows of a tile are alike in word count, and a pair of tiles is
 skipped only if its word counts rule the ratio out or its population counts differ beyond the radius. Equal fingerprints are
 collapsed first, and each task hands on a spanning forest of the pairs it found, so a group of thousands stays linear.
 
@@ -178,16 +178,25 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, ratio: flo
     cells = {r[0]: r[1] for r in items.groupBy(cell.alias("cell")).count().collect()}  # as many as lengths on a log scale
     block = min(BLOCK_MAX, max(BLOCK_MIN, max(cells.values(), default=0) // BLOCKS + 1))
     blocks = {c: -(-m // block) for c, m in cells.items()}
-    plan = []
-    for c, m in blocks.items():
-        other = [(d, k) for d in (c, c + 1) for k in range(blocks.get(d, 0))]
-        plan += [(c, i, 1, f"{c}.{i}-{d}.{j}", (c, i) == (d, j)) for i in range(m) for d, j in other if (c, i) <= (d, j)]
-        plan += [(d, j, 0, f"{c}.{i}-{d}.{j}", False) for i in range(m) for d, j in other if (c, i) < (d, j)]
-    routes = spark.createDataFrame(plan, "cell int, block int, left int, task string, own boolean")
-    parts = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("cell")) if blocks else F.lit(1)
-    spread = items.select("item", *key, cell.alias("cell")).withColumn("block", F.pmod(F.xxhash64("item"), parts).cast("int"))
-    tasks = spread.join(F.broadcast(routes) if len(plan) <= 100_000 else routes, ["cell", "block"])
-    edges = tasks.select("task", "item", "left", "own", *key).groupBy("task").applyInArrow(_compare(radius, ratio), "a bigint, b bigint")
+    table = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map().cast("map<int,int>")
+    count = lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0))
+    spread = items.select("item", *key, cell.alias("cell")).withColumn("block", F.pmod(F.xxhash64("item"), F.greatest(count(F.col("cell")), F.lit(1))).cast("int"))
+
+    def with_blocks(n: Column, task) -> Column:
+        """One task for each of n blocks: (cell, block) of both sides, whether the row is on the left one."""
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), task)
+
+    def task(c: Column, x: Column, d: Column, y: Column, left: Column) -> Column:
+        return F.struct(c.alias("c"), x.alias("x"), d.alias("d"), y.alias("y"), left.cast("int").alias("left"))
+
+    c, b, one = F.col("cell"), F.col("block"), F.lit(1)
+    every = F.concat(
+        with_blocks(count(c), lambda y: task(c, F.least(b, y), c, F.greatest(b, y), b <= y)),
+        with_blocks(count(c + 1), lambda y: task(c, b, c + 1, y, F.lit(True))),
+        with_blocks(count(c - 1), lambda y: task(c - one, y, c, b, F.lit(False))),
+    )
+    tasks = spread.select("item", *key, F.explode(every).alias("t")).select("item", *key, "t.*").withColumn("own", (F.col("c") == F.col("d")) & (F.col("x") == F.col("y")))
+    edges = tasks.groupBy("c", "x", "d", "y").applyInArrow(_compare(radius, ratio), "a bigint, b bigint")
     roots = components(edges)
     grouped = items.join(roots, items["item"] == roots["node"], "left").select(*key, "least", F.coalesce("root", "item").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("group_id"), F.count("*").alias("__texts"))
