@@ -310,7 +310,7 @@ def density_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.aggregate_density(_density_files(spark, sf_dir).withColumnRenamed("code", "sloc"))
 
 
-@_query(f"""SELECT doc_id::VARCHAR AS file, round(density, 2) AS density, CASE WHEN round(density, 2) < 0 THEN 0.0 ELSE 5.0 END AS bound, 'above' AS side
+@_query(f"""SELECT doc_id::VARCHAR AS file, round(density, 2) AS density, 5.0::DOUBLE AS bound, 'above' AS side
   FROM (SELECT doc_id, CASE WHEN code <= 0 THEN 0 ELSE 100.0 * comments / code END AS density, code FROM ({_DENSITY})) WHERE code >= 2 AND round(density, 2) > 5.0""")
 def density_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _density_files(spark, sf_dir)
