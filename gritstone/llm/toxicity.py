@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm import arrowtext as at
-from gritstone.llm.shared import configure
+from gritstone.llm.shared import configure, stored
 from gritstone.llm.simhash import RADIUS, RATIO, WORDS, _find, fingerprint, near_pairs
 
 #: labelled rows that the fit reads at most, those with the smallest hash of their id: a bound on fitting alone
@@ -96,18 +96,21 @@ def scored(model: Model, h: np.ndarray, stems: list[np.ndarray]) -> tuple[np.nda
     return hit, best[hit]
 
 
-def fit_arrays(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray, fp: np.ndarray, words_in: np.ndarray) -> Model:
-    """A model, not calibrated, from each document's distinct word hashes, and its label, fingerprint and length."""
-    n = len(toxic)
-    # copies of one text count once: near-equal fingerprints make a family, labels apart
-    family = np.arange(n)
+def families(toxic: np.ndarray, fp: np.ndarray, words_in: np.ndarray) -> np.ndarray:
+    """Number of each document's family: copies of one text, labels apart, count once. Near-equal fingerprints tell them."""
+    family = np.arange(len(toxic))
     if len(fp):
         order = np.argsort(words_in, kind="stable")
         for a, b in near_pairs(fp[order], words_in[order], None, None, RADIUS, RATIO):
             a, b = order[a], order[b]
             same = toxic[a] == toxic[b]
             _find(family, a[same], b[same])
-    _, family = np.unique(family, return_inverse=True)
+    return np.unique(family, return_inverse=True)[1]
+
+
+def fit_arrays(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray, family: np.ndarray) -> Model:
+    """A model, not calibrated, from each document's distinct word hashes, label and family."""
+    n = len(toxic)
     label = np.zeros(int(family.max(initial=0)) + 1, bool)
     label[family] = toxic.astype(bool)
     n1, n0 = float(label[: n or 0].sum()), float(len(label) * (n > 0) - label.sum())
@@ -156,20 +159,17 @@ def _lambda(scores: np.ndarray, p: np.ndarray, gap: float) -> float:
     return hi
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on the ``fit_rows`` labelled rows with the smallest hash of their id; rows with a null id, text or label are left out.
-
-    Repeated rows count once. Without rows of both labels no word has a score and no text is toxic.
-    """
-    known = labels.select(F.col(id_col).alias("__i"), F.col(label_col).cast("int").alias("__y")).where("__i is not null and __y is not null").groupBy("__i").agg(F.max("__y").alias("__y"))
-    picked = known.orderBy(F.xxhash64("__i"), "__i").limit(fit_rows)
-    texts = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).where("__i is not null and __t is not null")
+def _words(text: Column, only: np.ndarray | None = None) -> Column:
+    """Hashes of a text's distinct words and of their beginnings, those in the sorted ``only`` if given."""
 
     @F.arrow_udf("array<bigint>")
-    def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in batches:
             h, doc, stems = at.stems(*at.bytes_of(arr), STEMS)
             h, doc = np.concatenate([h, *stems]), np.tile(doc, 1 + len(STEMS))
+            if only is not None:
+                on = only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h if len(only) else np.zeros(len(h), bool)
+                h, doc = h[on], doc[on]
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
@@ -177,14 +177,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             h, doc = h[new], doc[new]
             yield pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(arr) + 1)).astype(np.int32)), pa.array(h.view(np.int64)))
 
-    sample = texts.join(F.broadcast(picked), "__i").distinct()
-    rows = sample.select("__y", "__i", words(F.col("__t")).alias("h"), fingerprint(F.col("__t")).alias("__f")).select("__y", "__i", "h", "__f.*").toArrow()
-    rows = rows.sort_by([("__i", "ascending"), ("n", "ascending")]).combine_chunks()
+    return f(text)
+
+
+def _sorted(rows: DataFrame) -> pa.Table:
+    """Rows of the sample on the driver, in one order."""
+    return rows.toArrow().sort_by([("__i", "ascending"), ("__h", "ascending")]).combine_chunks()
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
+    """Fits on the ``fit_rows`` labelled rows with the smallest hash of their id; rows with a null id, text or label are left out.
+
+    Repeated rows count once. Without rows of both labels no word has a score and no text is toxic.
+    """
+    known = labels.select(F.col(id_col).alias("__i"), F.col(label_col).cast("int").alias("__y")).where("__i is not null and __y is not null").groupBy("__i").agg(F.max("__y").alias("__y"))
+    picked = known.orderBy(F.xxhash64("__i"), "__i").limit(fit_rows)
+    texts = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).where("__i is not null and __t is not null")
+
+    sample = stored(texts.join(F.broadcast(picked), "__i").distinct().withColumn("__h", F.xxhash64("__t")), "labelled")
+    # the driver gets fingerprints, then only words that enough toxic families may have: counted on the executors
+    rows = _sorted(sample.select("__i", "__h", "__y", fingerprint(F.col("__t")).alias("__f")).select("__i", "__h", "__y", "__f.*"))
     whole = lambda c: pc.fill_null(rows[c], 0).to_numpy().astype(np.int64)
-    h = pc.list_flatten(rows["h"]).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    doc = np.repeat(np.arange(len(rows)), pc.list_value_length(rows["h"]).to_numpy().astype(np.int64)) if len(rows) else np.zeros(0, np.int64)
-    fp = np.stack([whole(f"f{k}").view(np.uint64) for k in range(WORDS)], axis=1)
-    model = fit_arrays(h, doc, (whole("__y") > 0).astype(np.int64), fp, whole("n"))
+    toxic = (whole("__y") > 0).astype(np.int64)
+    family = families(toxic, np.stack([whole(f"f{k}").view(np.uint64) for k in range(WORDS)], axis=1), whole("n"))
+    least = MIN_SHARE * len(np.unique(family[toxic > 0]))
+    often = sample.where("__y > 0").select(F.explode(_words(F.col("__t"))).alias("h")).groupBy("h").count().where(F.col("count") >= least).select("h").toArrow()
+    known_words = np.sort(often["h"].to_numpy().astype(np.int64).view(np.uint64))
+    rows = _sorted(sample.select("__i", "__h", _words(F.col("__t"), known_words).alias("w")))
+    h = pc.list_flatten(rows["w"]).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    doc = np.repeat(np.arange(len(rows)), pc.list_value_length(rows["w"]).to_numpy().astype(np.int64)) if len(rows) else np.zeros(0, np.int64)
+    model = fit_arrays(h, doc, toxic, family)
     if not len(model.hashes):
         return model
 
