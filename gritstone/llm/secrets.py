@@ -27,6 +27,10 @@ _WEAK = {"key", "auth", "login", "cert", "salt", "signature", "session", "cookie
 _AGAINST = {"public", "count", "length", "size", "type", "name", "path", "file", "dir", "url", "uri", "max", "min", "limit", "field", "label", "hint", "prompt", "policy", "expires", "expiry", "ttl", "header", "tokenizer", "tokens", "column", "primary", "foreign", "sort"}
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|null|none|true|false|undefined|todo|tbd|n/?a|example.*|sample.*|dummy.*|test|your[-_ ].*|change[-_ ]?me.*|redacted|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w+\)?s?%?|\$\w+)$")
 _FORMAT = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+|glpat-[\w-]{20}|-----BEGIN [A-Z ]*PRIVATE KEY-----")
+#: unquoted words that tell a kind of value
+_KINDS = {"str", "string", "int", "integer", "bytes", "bool", "boolean", "float", "any", "text", "char", "varchar", "optional", "required", "object", "list", "dict", "self"}
+#: what stands before a value that has its line for itself
+_ALONE = re.compile(r"[\s\-{,]*(?:export\s+)?[\"']?[\w.\-]+[\"']?\s*(?::=|=>|[:=])\s*")
 _NAME = r"(?:\"[\w.\-]{1,80}\"|'[\w.\-]{1,80}'|[^\W\d][\w.\-]{0,79})"
 _LEFT = re.compile(rf"(?:\[\s*({_NAME})\s*\]|(?<![\w.\-])({_NAME})|<([A-Za-z][\w.\-]{{0,79}})>(?=[^<>\s]{{1,4000}}</))(?:[ \t]{{0,16}}(:=|=>|[=:])(?![=:])[ \t]{{0,16}}|(?<=>))")
 _STRING = re.compile(r"[bBrRfFuU]{0,2}(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)")
@@ -68,6 +72,28 @@ def literal_score(value: str, named: bool) -> float:
     return s
 
 
+def plain(text: str, a: int, b: int) -> bool:
+    """Whether the literal at a:b counts under a strong name however short and regular it is.
+
+    Quoted and tagged ones do, and unquoted ones that are no expression or word of a sentence: those with a digit or a sign, after
+    a bare =, or alone on their line. Placeholders and what has under four characters never do.
+    """
+    value = text[a:b]
+    if len(value) < 4 or _PLACEHOLDER.match(value):
+        return False
+    if text[a - 1 : a] in ("\"", "'", "`", ">"):
+        return True
+    if value.lower() in _KINDS or text[b : b + 1] in ("(", "[") or "://" in value:
+        return False
+    if not _IDENT.match(value):
+        return True
+    if "." in value:
+        return False
+    line, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    rest = text[b : end if end >= 0 else len(text)].strip()
+    return text[a - 1 : a] == "=" or any(c.isdigit() for c in value) or bool((not rest or rest[0] in ",;#}") and _ALONE.fullmatch(text, line, a))
+
+
 def _value(text: str, i: int, xml: bool) -> tuple[list[tuple[str, str, int, int]], int]:
     """Terms ``(kind, value, start, stop)`` of the right side at i, kind being literal or name, and where it ends."""
     if xml:
@@ -139,6 +165,8 @@ def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, s
         s = name_score(name)
         for place, value in values.items():
             x = s + literal_score(value, s >= 3) if s > 0 or _FORMAT.search(value) else -1.0
+            if s >= 3 and plain(text, *place):
+                x = max(x, THRESHOLD)
             if place not in best or (x, name) > best[place]:
                 best[place] = (x, name)
     for m in _URL.finditer(text):

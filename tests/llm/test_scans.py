@@ -112,6 +112,19 @@ def test_no_secrets(text):
     assert S.scan(text) == []
 
 
+@pytest.mark.parametrize("value", ["hunter2", "Passw0rd", "letmein1", "root1234", "abc123", "correcthorse", "hunter", "my dog rex"])
+def test_short_human_passwords(value):
+    forms = [f'password = "{value}"', f'k = "{value}"\npassword = k', f"<password>{value}</password>"] + ([] if " " in value else [f"password={value}", f"db:\n  password: {value}\n  port: 5"])
+    for text in forms[: 2 if " " in value else 5]:
+        assert [text[a:b] for a, b, *_ in S.scan(text)] == [value], text
+    assert S.scan(f'key = "{value}"') == []  # a weak name asks for entropy
+
+
+@pytest.mark.parametrize("text", ["password: str", "password = input()", 'password = "changeme"', "he gave the password: never again said she", 'password_hint = "rex1"'])
+def test_no_short_passwords(text):
+    assert S.scan(text) == []
+
+
 def test_secrets_in_long_and_odd_texts(spark, odd, empty):
     assert S.secrets(odd).count() == 0 and S.secrets(empty).count() == 0
     text = "w " * 40_000 + f'token = "{SECRET}"'
