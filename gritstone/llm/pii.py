@@ -4,7 +4,8 @@ Nodes are the words that can be part of personal data: those with a digit or an
 other word is O for certain, so the field falls apart into what lies between them, exactly. Node potentials come from a word's
 shape and its neighbours; chain potentials link words next to each other; skip potentials link a word to the last one
 before it in the document that is equal or similar (the same digits, the same address), however far, and favour one label.
-Messages are passed round this loopy graph, all edges of all documents of a batch at once, until they settle, and each node
+Messages are passed round this loopy graph, all edges of all documents of a batch at once; each document stops when its own settle, and
+those that ``ROUNDS`` don't settle go on by sweeps forth and back, each of which carries evidence over any number of repeats. Each node
 takes its best marginal. Weights are fitted piece by piece on generated sentences: personal data in all their forms, and
 numbers that are none.
 """
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from gritstone.llm.shared import configure
 
 LABELS = ("O", "EMAIL", "IP", "CARD", "PHONE", "PHONE+")  # PHONE+ goes on with the phone number before it
-ROUNDS, DAMPING, SETTLED = 30, 0.25, 1e-4
+#: rounds over whole batches, and sweeps over documents that these don't settle, at most
+ROUNDS, SWEEPS, DAMPING, SETTLED = 30, 200, 0.25, 1e-4
 #: generated sentences that the fit reads, and its seed
 FIT_SENTENCES, SEED = 3000, 7
 _WORD = re.compile(r"\S+")
@@ -245,6 +247,26 @@ def fit(sentences: int = FIT_SENTENCES, seed: int = SEED) -> Model:
 # --- inference
 
 
+def sweep(node: np.ndarray, msg: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, back: np.ndarray, edges: np.ndarray) -> None:
+    """Pass a document's messages a -> b forth, by the order of the nodes that send them, and back, until they settle."""
+    total = node.copy()
+    np.add.at(total, b[edges], msg[edges])
+    forth, rest = edges[a[edges] < b[edges]], edges[a[edges] > b[edges]]
+    order = [*forth[np.argsort(a[forth], kind="stable")].tolist(), *rest[np.argsort(-a[rest], kind="stable")].tolist()]
+    for _ in range(SWEEPS):
+        moved = 0.0
+        for e in order:
+            out = (total[a[e]] - msg[back[e]])[:, None] + w[e]
+            top = out.max(axis=0)
+            new = np.log(np.exp(out - top).sum(axis=0)) + top
+            new = (1 - DAMPING) * (new - new.max()) + DAMPING * msg[e]
+            moved = max(moved, np.abs(new - msg[e]).max())
+            total[b[e]] += new - msg[e]
+            msg[e] = new
+        if moved < SETTLED:
+            break
+
+
 def infer(model: Model, docs: list[list[Node]]) -> tuple[np.ndarray, int]:
     """Marginals of all nodes of all documents, and the rounds that the messages took."""
     flat = [n for doc in docs for n in doc]
@@ -255,12 +277,13 @@ def infer(model: Model, docs: list[list[Node]]) -> tuple[np.ndarray, int]:
     for i, n in enumerate(flat):
         x[i, features(n)] = 1
     node = x @ model.unary
-    src, dst, pot = [], [], []
+    src, dst, pot, of = [], [], [], []
     skip = model.skip * np.eye(k)
     i = 0
-    for doc in docs:
+    for number, doc in enumerate(docs):
         last: dict[str, int] = {}
         for j, n in enumerate(doc):
+            of += [number] * (len(src) - len(of))
             if j and doc[j - 1].index == n.index - 1:
                 src.append(i - 1)
                 dst.append(i)
@@ -284,19 +307,25 @@ def infer(model: Model, docs: list[list[Node]]) -> tuple[np.ndarray, int]:
         w = np.array(pot)
         w = np.concatenate([w, w.transpose(0, 2, 1)])  # source label x target label
         back = np.concatenate([np.arange(len(src), 2 * len(src)), np.arange(len(src))])
+        of += [len(docs) - 1] * (len(src) - len(of))
+        of = np.array([*of, *of])
         msg = np.zeros((len(a), k))
-        for rounds in range(1, ROUNDS + 1):
+        going = np.arange(len(a))
+        while len(going) and rounds < ROUNDS:
+            rounds += 1
             total = node.copy()
             np.add.at(total, b, msg)
-            out = (total[a] - msg[back])[:, :, None] + w
+            out = (total[a[going]] - msg[back[going]])[:, :, None] + w[going]
             top = out.max(axis=1, keepdims=True)
             new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            new = (1 - DAMPING) * new + DAMPING * msg
-            moved = np.abs(new - msg).max()
-            msg = new
-            if moved < SETTLED:
-                break
+            new = (1 - DAMPING) * new + DAMPING * msg[going]
+            moved = np.zeros(len(docs))
+            np.maximum.at(moved, of[going], np.abs(new - msg[going]).max(axis=1))
+            msg[going] = new
+            going = going[moved[of[going]] >= SETTLED]
+        for number in np.unique(of[going]):
+            sweep(node, msg, a, b, w, back, np.flatnonzero(of == number))
         total = node.copy()
         np.add.at(total, b, msg)
     p = np.exp(total - total.max(axis=1, keepdims=True))

@@ -85,6 +85,33 @@ def test_repeats_agree():
     assert labels == {"CARD"}
 
 
+def test_evidence_over_hundreds_of_repeats():
+    model = I.fit()
+    told = np.zeros_like(model.unary)
+    told[len(I._SHAPES) + 12, 4] = 8.0  # a phone hint is all that any word knows
+    model = I.Model(told, np.zeros_like(model.chain), 12.0)  # so strong a link that it doesn't fade on the way
+    nodes = I.nodes_of("tel: 12345678 " + "w 12345678 " * 300)
+    got, _ = I.infer(model, [nodes])
+    # a chain: forward and backward
+    unary = np.array([model.unary[I.features(n)].sum(axis=0) + model.chain[0] + model.chain[:, 0] for n in nodes])
+    link = 12.0 * np.eye(len(I.LABELS))
+    one, two = np.zeros_like(unary), np.zeros_like(unary)
+    for i in range(1, len(nodes)):
+        x = (unary[i - 1] + one[i - 1])[:, None] + link
+        one[i] = np.log(np.exp(x - x.max()).sum(axis=0))
+        x = (unary[-i] + two[-i])[:, None] + link
+        two[-i - 1] = np.log(np.exp(x - x.max()).sum(axis=0))
+    want = np.exp(unary + one + two - (unary + one + two).max(axis=1, keepdims=True))
+    assert np.abs(got - want / want.sum(axis=1, keepdims=True)).max() < 0.01 and (got[:, 4] > 0.9).all()
+
+
+def test_p_of_a_document_alone_and_in_a_batch():
+    model = I.fit()
+    texts = ["call (017) 555-7713 or 5551234", "tel: 12345678 " + "w 12345678 " * 60, "12345678 (017) 555-7713 12345678 9 12345678"]
+    both = I.entities(model, texts)
+    assert both == [I.entities(model, [x])[0] for x in texts]
+
+
 def test_pii_odd_rows(spark, odd, empty):
     assert I.find_pii(odd).count() == 0 and I.find_pii(empty).count() == 0
     text = "x jo@mail.example.com y"
