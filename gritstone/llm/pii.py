@@ -1,6 +1,10 @@
 """PII by a skip-chain conditional random field.
 
-Nodes are the words that can be part of personal data: those with a digit or an @, stripped of punctuation around them; every
+The labels are e-mail and IPv4 addresses, card and phone numbers. Names, postal addresses, IPv6 and numbers of documents or
+accounts are outside them and never found.
+
+Nodes are the words that can be part of personal data: those with a digit or an @, stripped of punctuation around them. Words that
+join addresses or numbers to others, as in lists, URLs and assignments, are cut there; a card number in groups with blanks is one node if its check digit fits. Every
 other word is O for certain, so the field falls apart into what lies between them, exactly. Node potentials come from a word's
 shape and its neighbours; chain potentials link words next to each other; skip potentials link a word to the last one
 before it in the document that is equal or similar (the same digits, the same address), however far, and favour one label.
@@ -32,6 +36,9 @@ ROUNDS, SWEEPS, DAMPING, SETTLED = 30, 200, 0.25, 1e-4
 FIT_SENTENCES, SEED = 3000, 7
 _WORD = re.compile(r"\S+")
 _CORE = re.compile(r"[+(]?[0-9A-Za-z](?:.*[0-9A-Za-z)])?", re.S)
+_CUT, _PIECE = re.compile(r"[,;:/=|&?<>\[\]{}\"']"), re.compile(r"[^,;:/=|&?<>\[\]{}\"']+")
+_NUMBER, _QUAD = re.compile(r"[+\-]?\d+(?:[.,:/\-]\d+)*"), re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)")
+_GROUPS = re.compile(r"(?<![\w.\-+])(?<!\d )(?:\d{4}[ \u00a0]\d{4}[ \u00a0]\d{4}[ \u00a0]\d{1,7}|\d{4}[ \u00a0]\d{6}[ \u00a0]\d{5})(?!\w)")
 _HINTS = {
     "phone": {"phone", "tel", "telephone", "mobile", "cell", "call", "fax", "whatsapp", "telefon", "anrufen", "téléphone", "teléfono", "móvil"},
     "mail": {"email", "mail", "e-mail", "contact", "write", "correo", "courriel"},
@@ -53,19 +60,39 @@ class Node:
     after: str
 
 
+def _pieces(word: str) -> list[tuple[int, str]]:
+    """A word, cut where addresses and numbers are joined to others or to names; dates, times and decimals stay whole."""
+    if not _CUT.search(word) or (_NUMBER.fullmatch(word.strip("\"'<>()[]{},;:.!?")) and not _QUAD.search(word)):
+        return [(0, word)]
+    return [(m.start(), m.group()) for m in _PIECE.finditer(word)]
+
+
 def nodes_of(text: str) -> list[Node]:
     out = []
+    # a card number in groups is one node
+    groups = iter([m for m in _GROUPS.finditer(text) if 13 <= len(d := re.sub(r"\D", "", m.group())) <= 19 and luhn(d)])
+    card = next(groups, None)
     prev, held = "", None
     for i, m in enumerate(_WORD.finditer(text)):
-        w = m.group()
-        if held is not None:
-            out.append(Node(*held, w))
-            held = None
-        if any(c.isdigit() for c in w) or "@" in w:
-            core = _CORE.search(w)
-            if core:
-                held = (m.start() + core.start(), m.start() + core.end(), core.group(), i, prev)
-        prev = w
+        for at_, w in _pieces(m.group()):
+            start = m.start() + at_
+            while card is not None and card.end() <= start:
+                card = next(groups, None)
+            if card is not None and card.start() < start + len(w):
+                if start <= card.start():
+                    if held is not None:
+                        out.append(Node(*held, card.group()))
+                    held = (card.start(), card.end(), card.group(), i, prev if start == card.start() else w[: card.start() - start])
+                    prev = card.group()
+                continue
+            if held is not None:
+                out.append(Node(*held, w))
+                held = None
+            if any(c.isdigit() for c in w) or "@" in w:
+                core = _CORE.search(w)
+                if core:
+                    held = (start + core.start(), start + core.end(), core.group(), i, prev)
+            prev = w
     if held is not None:
         out.append(Node(*held, ""))
     return out
@@ -90,7 +117,7 @@ _SHAPES = [
     ("+digits", re.compile(r"\+\d{8,15}")),
     ("digits", re.compile(r"\d+")),
     ("0digits", re.compile(r"0\d{6,12}")),
-    ("groups4", re.compile(r"(?:\d{4}[- ]){3}\d{1,7}")),
+    ("groups4", re.compile(r"(?:\d{4}[- \u00a0]){3}\d{1,7}")),
     ("date", re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}")),
     ("time", re.compile(r"\d{1,2}:\d\d(?::\d\d)?")),
     ("decimal", re.compile(r"\d+[.,]\d+")),
@@ -109,7 +136,7 @@ def features(n: Node) -> list[int]:
     d = len(digits)
     out.append(k + (0 if d == 0 else 1 if d <= 3 else 2 if d <= 6 else 3 if d <= 9 else 4 if d <= 12 else 5 if d <= 16 else 6 if d <= 19 else 7))
     k += 8
-    plain = digits == re.sub(r"[ \-]", "", c)
+    plain = digits == re.sub(r"[ \u00a0\-]", "", c)
     if plain and 13 <= d <= 19:
         out += [k, k + 1] if luhn(digits) else [k]
     quad = c.split(".")

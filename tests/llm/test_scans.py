@@ -85,6 +85,21 @@ def test_repeats_agree():
     assert labels == {"CARD"}
 
 
+def test_personal_data_joined_or_in_groups():
+    model = I.fit()
+    cases = {
+        "card 4111 1111 1111 1111 12/27 ok": [("CARD", "4111 1111 1111 1111")],
+        "amex: 3782 822463 10005.": [("CARD", "3782 822463 10005")],
+        "in 2019 2020 2021 2022 we grew": [],
+        "at 10.0.0.1:8080 and ip=10.0.0.2 or http://10.0.0.3/x": [("IP", "10.0.0.1"), ("IP", "10.0.0.2"), ("IP", "10.0.0.3")],
+        "to ann@x7.com,bob@y8.org;eve@z9.net": [("EMAIL", "ann@x7.com"), ("EMAIL", "bob@y8.org"), ("EMAIL", "eve@z9.net")],
+        "net 10.0.0.0/24,10.1.0.1": [("IP", "10.0.0.0"), ("IP", "10.1.0.1")],
+        "on 2024/05/06 at 12:30:05 for 1,234.50": [],
+    }
+    got = {t: [(e["label"], t[e["start"] : e["stop"]]) for e in I.entities(model, [t])[0]] for t in cases}
+    assert got == cases
+
+
 def test_evidence_over_hundreds_of_repeats():
     model = I.fit()
     told = np.zeros_like(model.unary)
