@@ -47,7 +47,7 @@ def test_longest_matches_are_those_of_brute_force(spark, monkeypatch):
         for j, item in enumerate(items):
             it = item.split()
             n = longest(w, it)
-            if len(it) >= D.MIN_ITEM and n >= min(len(it), D.MIN_WORDS):
+            if n >= min(len(it), D.MIN_WORDS):
                 want[i, j] = n
     assert {k: r.words for k, r in got.items()} == want and want
     for (i, j), r in got.items():
@@ -63,10 +63,21 @@ def test_benchmark_in_parts(spark, monkeypatch):
     table = spark.createDataFrame([row(i, t) for i, t in enumerate(docs)], SCHEMA)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     whole = sorted(map(tuple, D.leaked_passages(table, bench).collect()))
+    assert whole
     monkeypatch.setattr(D, "BLOCK", 200)
     assert sorted(map(tuple, D.leaked_passages(table, bench).collect())) == whole
 
 
+def test_short_items_and_ids_of_any_type(spark):
+    docs = spark.createDataFrame([row(1, "so he said To be, or not at all"), row(2, "to be or not"), row(3, "to be or"), row(None, "not to be or not.")], SCHEMA)
+    bench = spark.createDataFrame([("q-1", "to be or not", 1), ("q-2", "Seven words that stand in no document", 2)], "item_id string, text string, words int")
+    got = {(r.doc_id, r.item_id, r.words, r.verbatim) for r in D.leaked_passages(docs, bench).collect()}
+    assert got == {(1, "q-1", 4, False), (2, "q-1", 4, True), (None, "q-1", 4, True)}
+    assert [r.doc_id for r in D.drop_leaks(docs, bench).collect()] == [3]
+    other = docs.withColumnRenamed("doc_id", "item_id")  # an id called like the items'
+    assert D.drop_leaks(other, bench).columns == other.columns
+
+
 def test_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (None, "a b c d e f"), (2, ""), (3, "one two three four five six")], "item_id long, text string")
     assert D.leaked_passages(odd, bench).count() == 0
