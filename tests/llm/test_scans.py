@@ -185,8 +185,8 @@ def ppm(model, lang, text):
         for k in range(L.ORDER, -1, -1):
             ctx = 0
             for j in range(1, k + 1):
-                ctx |= z[i - j] << 7 * (j - 1)
-            here = {int(key) & 127: int(n) for key, n in zip(*per[k]) if int(key) >> 7 == ctx}
+                ctx += z[i - j] * model.kinds ** (j - 1)
+            here = {int(key) % model.kinds: int(n) for key, n in zip(*per[k]) if int(key) // model.kinds == ctx}
             if k and not here:
                 continue
             left = {b: n for b, n in here.items() if b not in gone}
@@ -198,7 +198,7 @@ def ppm(model, lang, text):
                 bits -= math.log2(u / (t + u))
             gone |= here.keys()
         else:
-            bits += math.log2(max(257 - len({int(key) & 127 for key in per[0][0]}), 1))
+            bits += math.log2(max(257 - len({int(key) % model.kinds for key in per[0][0]}), 1))
     return bits
 
 
@@ -220,6 +220,19 @@ def test_code_lengths_by_definition():
             assert abs(got[i, j] - ppm(model, lang, t)) < 0.01 * len(t.encode())
 
 
+def test_bytes_of_many_scripts_are_told_apart():
+    texts = {"zh": "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "ru": "съешь ещё этих мягких французских булок да выпей чаю", "ar": "نص حكيم له سر قاطع وذو شأن عظيم مكتوب على ثوب أخضر", "en": "the quick brown fox jumps over the lazy dog 0123456789 ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ko": "다람쥐 헌 쳇바퀴에 타고파 키스의 고유조건은 입술끼리 만나야 하고", "el": "ξεσκεπάζω την ψυχοφθόρα βδελυγμία ΞΕΣΚΕΠΑΖΩ"}
+    model = L.fit_arrays({k: [v] for k, v in texts.items()})
+    seen = {b for v in texts.values() for b in v.encode()}
+    assert len(seen) > 128 and model.kinds == len(seen) + 2 and len({int(model.kind[b]) for b in seen}) == len(seen)
+    held = ["月盈地玄", "мягких булок ё", "سر عظيم", "lazy fox 42", "Ω"]
+    got = L.Coder(model).lengths(*at.bytes_of(pa.array(held, pa.large_string()))) / L.UNIT
+    for i, t in enumerate(held):
+        for j, lang in enumerate(model.langs):
+            assert abs(got[i, j] - ppm(model, lang, t)) < 0.01 * len(t.encode())
+    assert [model.langs[k] for k in got[:4].argmin(axis=1)] == ["zh", "ru", "ar", "en"]
+
+
 def test_languages_of_held_out_texts(spark):
     r = random.Random(2)
     rows = [row(i, speech(r, k, r.randint(4, 40)), k) for i, k in enumerate(list(LANGS) * 120)]
