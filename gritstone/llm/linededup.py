@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.shared import configure, stored
+from gritstone.llm.shared import configure, id_key, stored
 
 WINDOW = 3
 
@@ -44,7 +44,7 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct(F.col("__id").isNotNull().alias("has"), F.col("__id").alias("id"), F.col("__kh").alias("kh"), F.col("pos").alias("pos"))
     first = wins.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
     later = wins.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    key = F.coalesce(F.col("__id").cast("string"), F.lit("null")).alias("__kid")
+    key = id_key("__id").alias("__kid")
     return later.groupBy(key, "__kh").agg(F.collect_set("pos").alias("__p")).select("__kid", "__kh", F.array_distinct(F.flatten(F.transform("__p", lambda p: F.sequence(p, p + window - 1)))).alias("__gone"))
 
 
@@ -56,7 +56,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     don't match. Rows equal in id and text count as one occurrence. An empty table gives an empty table.
     """
     gone = covered_lines(docs, id_col, text_col, window)
-    keys = [F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__kid"), F.xxhash64(F.col(text_col)).alias("__kh")]
+    keys = [id_key(id_col).alias("__kid"), F.xxhash64(F.col(text_col)).alias("__kh")]
     rows = docs.select(F.struct(*docs.columns).alias("__row"), *keys).join(gone, ["__kid", "__kh"], "left")
     text = F.col("__row").getField(text_col)
     kept = F.filter(_lines(text), lambda line, i: ~F.array_contains(F.col("__gone"), i))

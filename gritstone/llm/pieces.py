@@ -4,8 +4,10 @@ The vocabulary is of the BPE kind. A sequence of pieces is the BPE encoding of a
 makes of their own concatenation, so encoding is a best path in the lattice of pieces whose transitions weigh 0
 (neighbours agree) or minus infinity (they don't): a max-plus product, with one finite path. ``Transfer`` is such a matrix of
 a chunk, from the pieces that can lie across its left boundary to those across its right one. Giant texts are split at
-any character; chunks yield their matrices in parallel, a scan combines them (the product is associative), and each chunk is
-then traced back on its own between its two boundary states. Where no piece of the vocabulary joins two characters, as
+any character; chunks yield their matrices in parallel. The product is associative, so runs of ``FAN`` matrices are multiplied
+to one, runs of these again, until a text has one; then the states at the boundaries go down the same tree, from a product's two
+ends to those of its factors, and each chunk is traced back on its own between its two boundary states. No task holds more than
+``FAN`` matrices of a text. Where no piece of the vocabulary joins two characters, as
 before a blank, the matrix has one state, so shorter texts are a product of words, each solved once a worker.
 
 Text goes in as it is: no normalisation but the leading blank and U+2581 for blanks; unknown characters become byte pieces.
@@ -24,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm import arrowtext as at
-from gritstone.llm.shared import configure
+from gritstone.llm.shared import configure, id_key, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: characters from which on a text is split into chunks, and of a chunk
-GIANT, CHUNK = 65_536, 16_384
+#: characters from which on a text is split into chunks, and of a chunk; matrices of one product
+GIANT, CHUNK, FAN = 8_192, 4_096, 32
 #: distinct words that a worker remembers; beyond it starts anew, with the same results
-REMEMBER = 4_000_000
+REMEMBER = 1_000_000
 BLANK = "▁"
 START = (-1, 0)
 State = tuple[int, int]  # a piece and where it starts, relative to the boundary
@@ -381,12 +383,19 @@ def word(v: Pieces, w: str) -> tuple[int, ...]:
     return _word(id(v), w)
 
 
-def boundary_states(matrices: list[Transfer]) -> list[State]:
-    """The state of the one finite path at every boundary, the text's start and end included: a prefix scan, then back."""
-    before: list[set[State]] = [{START}]
+def product(matrices: list[Transfer]) -> Transfer:
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = out @ m
+    return out
+
+
+def boundary_states(matrices: list[Transfer], first: State = START, last: State = START) -> list[State]:
+    """The state of the one finite path at every boundary, from ``first`` to ``last``: what each product so far reaches, then back."""
+    before = [{first}]
     for m in matrices:
         before.append({b for a, b in m.entries if a in before[-1]})
-    states = [next(iter(before[-1] & {START}))]
+    states = [next(iter(before[-1] & {last}))]
     for k in range(len(matrices) - 1, -1, -1):
         states.append(next(a for a, b in matrices[k].entries if b == states[-1] and a in before[k]))
     return states[::-1]
@@ -522,58 +531,101 @@ def encoded(text: Column, model: str = MODEL) -> Column:
 
 
 def decoded(ids: Column, model: str = MODEL) -> Column:
-    """The text of an array of ids; null for null."""
+    """The text of an array of ids, whole batches at once; null for null, an error for ids that the vocabulary lacks. Null ids have no text."""
 
     @F.arrow_udf("string")
     def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = load(model)
+        memory = words_of(model)
         for arr in batches:
-            yield pa.array([None if x is None else v.decode([i for i in x if i is not None and 0 <= i < len(v.raw)]) for x in arr.to_pylist()], pa.string())
+            flat, size = pc.list_flatten(arr), pc.fill_null(pc.list_value_length(arr), 0).to_numpy().astype(np.int64)
+            edges = np.concatenate([[0], np.cumsum(size)])
+            if flat.null_count:
+                there = np.concatenate([[0], np.cumsum(np.asarray(pc.is_valid(flat)).astype(np.int64))])
+                flat, edges = pc.drop_null(flat), there[edges]
+            number = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(number) and not (0 <= number.min() and number.max() < len(memory.v.raw)):
+                raise ValueError("an id that the vocabulary lacks")
+            raw, cut = memory.decode(number, edges)
+            yield _strings(raw, cut, np.asarray(pc.is_null(arr)))
 
     return f(ids)
 
 
-def encode_giants(rows: DataFrame, model: str = MODEL, size: int = CHUNK) -> DataFrame:
-    """``(key, ids)`` of ``rows`` (key, text): every chunk is a row of its own, in both passes."""
+def _strings(raw: np.ndarray, cut: np.ndarray, none: np.ndarray) -> pa.Array:
+    """Texts without their leading blank, from bytes; what is no UTF-8, as after a part of a character, is replaced."""
+    begin = cut[:-1] + ((np.diff(cut) > 0) & (raw[np.minimum(cut[:-1], max(len(raw) - 1, 0))] == 32) if len(raw) else 0)
+    whole = raw.tobytes()
+    texts = [None if n else whole[a:b].decode("utf-8", "replace") for a, b, n in zip(begin.tolist(), cut[1:].tolist(), none.tolist())]
+    return pa.array(texts, pa.string())
+
+
+def _matrix(m: list[int]) -> Transfer:
+    return Transfer({((m[i], m[i + 1]), (m[i + 2], m[i + 3])) for i in range(0, len(m), 4)})
+
+
+def _multiply(table: pa.Table) -> pa.Table:
+    """The product of a run of matrices ``(key, up, k, m)``."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+    m = product([_matrix(r["m"]) for r in rows])
+    return pa.table({"key": [rows[0]["key"]], "k": pa.array([rows[0]["up"]], pa.int32()), "m": pa.array([[x for p, q in m.entries for x in (*p, *q)]], pa.list_(pa.int32()))})
+
+
+def _states(table: pa.Table) -> pa.Table:
+    """The states at both ends of each matrix of a run ``(key, up, k, m, e)``; e has those at the ends of the run."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+    e = rows[0]["e"]
+    states = boundary_states([_matrix(r["m"]) for r in rows], (e[0], e[1]), (e[2], e[3]))
+    out = {"key": [r["key"] for r in rows], "k": pa.array([r["k"] for r in rows], pa.int32())}
+    return pa.table(out | {"e": pa.array([[*states[i], *states[i + 1]] for i in range(len(rows))], pa.list_(pa.int32()))})
+
+
+def encode_giants(rows: DataFrame, model: str = MODEL, size: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """``(key, ids)`` of ``rows`` (key, text): every chunk is a row of its own, in both passes, and every product of the tree between."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(model)
         for batch in batches:
             for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
                 parts = chunks(v, (" " + text).replace(" ", BLANK), max(size, 2 * v.longest))
-                for k, (c, a, b) in enumerate(parts):
-                    yield pa.RecordBatch.from_pydict({"key": [key], "k": pa.array([k], pa.int32()), "n": pa.array([len(parts)], pa.int32()), "s": [c], "a": pa.array([a], pa.int32()), "b": pa.array([b], pa.int32())})
+                n = len(parts)
+                s, a, b = zip(*parts)
+                for i in range(0, n, 256):  # a giant's chunks go on in parts, whatever its length
+                    j = min(i + 256, n)
+                    yield pa.RecordBatch.from_pydict({"key": [key] * (j - i), "k": pa.array(range(i, j), pa.int32()), "n": pa.array([n] * (j - i), pa.int32()), "s": list(s[i:j]), "a": pa.array(a[i:j], pa.int32()), "b": pa.array(b[i:j], pa.int32())})
+
+    def chunk(r: dict) -> Chunk:
+        return Chunk(load(model), r["s"], r["a"], r["b"], r["k"] == 0, r["k"] == r["n"] - 1)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = load(model)
         for batch in batches:
-            for r in batch.to_pylist():
-                m = Chunk(v, r["s"], r["a"], r["b"], r["k"] == 0, r["k"] == r["n"] - 1).transfer()
-                flat = [x for (p, q) in m.entries for x in (*p, *q)]
-                yield pa.RecordBatch.from_pydict({"key": [r["key"]], "k": pa.array([r["k"]], pa.int32()), "m": pa.array([flat], pa.list_(pa.int32()))})
-
-    def scan(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-        states = boundary_states([Transfer({((m[i], m[i + 1]), (m[i + 2], m[i + 3])) for i in range(0, len(m), 4)}) for m in (r["m"] for r in rows)])
-        out = {"key": [r["key"] for r in rows], "k": pa.array([r["k"] for r in rows], pa.int32())}
-        return pa.table(out | {"e": pa.array([[*states[i], *states[i + 1]] for i in range(len(rows))], pa.list_(pa.int32()))})
+            flat = [[x for p, q in chunk(r).transfer().entries for x in (*p, *q)] for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["k"], pa.array(flat, pa.list_(pa.int32()))], names=["key", "k", "m"])
 
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = load(model)
         for batch in batches:
-            for r in batch.to_pylist():
-                e = r["e"]
-                ids = Chunk(v, r["s"], r["a"], r["b"], r["k"] == 0, r["k"] == r["n"] - 1).trace((e[0], e[1]), (e[2], e[3]))
-                yield pa.RecordBatch.from_pydict({"key": [r["key"]], "k": pa.array([r["k"]], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int32()))})
-
-    parts = rows.select("key", "text").mapInArrow(split, "key string, k int, n int, s string, a int, b int").repartition(F.col("key"), F.col("k"))
-    states = parts.mapInArrow(matrices, "key string, k int, m array<int>").groupBy("key").applyInArrow(scan, "key string, k int, e array<int>")
+            ids = [chunk(r).trace((r["e"][0], r["e"][1]), (r["e"][2], r["e"][3])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["k"], pa.array(ids, pa.list_(pa.int32()))], names=["key", "k", "ids"])
+
+    parts = stored(rows.select("key", "text").mapInArrow(split, "key string, k int, n int, s string, a int, b int").repartition(F.col("key"), F.col("k")), "chunks")
+    longest = parts.agg(F.max("n")).first()[0] or 0
+    up = F.floor(F.col("k") / fan).cast("int")
+    levels = [stored(parts.mapInArrow(matrices, "key string, k int, m array<int>"), "matrices")]
+    width = longest
+    while width > fan:
+        levels.append(stored(levels[-1].withColumn("up", up).groupBy("key", "up").applyInArrow(_multiply, "key string, k int, m array<int>"), "products"))
+        width = -(-width // fan)
+    # at the top a text is one run, from its start to its end
+    ends = F.array(*[F.lit(x) for x in (*START, *START)])
+    states = levels[-1].withColumn("up", F.lit(0)).withColumn("e", ends).groupBy("key").applyInArrow(_states, "key string, k int, e array<int>")
+    for level in levels[-2::-1]:
+        above = states.select("key", F.col("k").alias("up"), "e")
+        states = level.withColumn("up", up).join(above, ["key", "up"]).groupBy("key", "up").applyInArrow(_states, "key string, k int, e array<int>")
     traced = parts.join(states, ["key", "k"]).select("key", "k", "n", "s", "a", "b", "e").mapInArrow(traces, "key string, k int, ids array<int>")
     return traced.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: str = MODEL, giant: int = GIANT, size: int = CHUNK) -> DataFrame:
-    """``(id, *keep, ids, n_tokens, lossless)`` for every row of ``docs``.
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: str = MODEL, giant: int = GIANT, size: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """``(id, *keep, ids, n_tokens, lossless)`` for every row of ``docs``. Texts of ``giant`` characters or more go through the scan.
 
     Null and empty texts have no ids and are lossless. A text that holds U+2581 itself isn't: it decodes to blanks. Repeated
     rows give repeated rows, null ids stay null, an empty table gives an empty one.
@@ -581,10 +633,10 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     configure(docs.sparkSession)
     cols = [F.col(c) for c in dict.fromkeys((id_col, *keep))]
     small = docs.where(F.coalesce(F.length(text_col), F.lit(0)) < giant).select(*cols, encoded(F.col(text_col), model).alias("__e")).select(*cols, "__e.ids", "__e.lossless")
-    key = F.concat_ws("-", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.hex(F.xxhash64(F.col(text_col))), F.length(text_col).cast("string"))
+    key = F.concat_ws("-", id_key(id_col), F.hex(F.xxhash64(F.col(text_col))), F.length(text_col).cast("string"))
     big = docs.where(F.length(text_col) >= giant)
     once = big.select(key.alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-    made = encode_giants(once, model, size)
+    made = encode_giants(once, model, size, fan)
     back = big.withColumn("__key", key).join(made.select(F.col("key").alias("__made"), F.col("ids").alias("__ids")), F.col("__key") == F.col("__made"))
     big = back.select(*cols, F.col("__ids").alias("ids"), decoded(F.col("__ids"), model).eqNullSafe(F.col(text_col)).alias("lossless"))
     return small.unionByName(big).select(*cols, "ids", F.size("ids").alias("n_tokens"), "lossless")

@@ -1,17 +1,17 @@
 """SimHash near-dedup: 256-bit fingerprints compared exactly, tile by tile.
 
-A fingerprint sums the signed bits of all word pairs of a text. Two texts are near copies if their fingerprints differ in
-at most ``radius`` bits and the shorter has at least ``ratio`` of the longer's words; groups are the connected components.
-Every pair that can qualify is compared: rows of a tile are alike in word count, and a pair of tiles is
-skipped only if its word counts rule the ratio out or its population counts differ beyond the radius. Equal fingerprints are
-collapsed first, and each task hands on a spanning forest of the pairs it found, so a group of thousands stays linear.
-
-The comparison is quadratic in the number of distinct texts of like length; the README has measured figures.
+A fingerprint sums the signed bits of all word pairs of a text; bits on which the pairs are divided equally are those of a hash of all of
+them, so that short texts don't agree by default. Two texts are near copies if their fingerprints differ in at most ``radius``
+bits, whatever their lengths; groups are the connected components. Every pair is compared: rows are ordered by population
+count, and a pair of tiles, or of whole blocks, is skipped only if its population counts differ beyond the radius. Equal
+fingerprints are collapsed first, and each task hands on a spanning forest of the pairs it found, so a group of thousands
+stays linear.
+
+The comparison is quadratic in the number of distinct texts; the README has measured figures.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,18 +20,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.llm import arrowtext as at
-from gritstone.llm.shared import components, configure, stored
+from gritstone.llm.shared import components, configure, id_key, stored
 
 WORDS = 4
 RADIUS = 66
-RATIO = 0.75
 TILE = 256
 BLOCK_MIN, BLOCK_MAX, BLOCKS = 2048, 1 << 18, 6
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 4) fingerprints and word counts; a bit is set where more than half of the word pairs set it."""
+    """(n, 4) fingerprints and word counts; a bit is set where more than half of the word pairs set it, or half of them and their hash."""
     n = len(offsets) - 1
     out, words = np.zeros((n, WORDS), np.uint64), np.zeros(n, np.int64)
     for i, j in at.groups_by_bytes(offsets, 1 << 20):
@@ -53,11 +52,15 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             bits[:, k] = at.mix(pair, k)
         lanes = bits.view(np.uint8)
         start = np.cumsum(features) - features
+        # a hash of all pairs, whatever their order, decides where they are divided equally
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bits[:, 0])])
+        whole = sums[start + features] - sums[start]
+        own = np.unpackbits(np.stack([at.mix(whole, WORDS + k) for k in range(WORDS)], axis=1).view(np.uint8), axis=1).astype(bool)
         for d in np.flatnonzero(features):
             total = np.zeros(64 * WORDS, np.int64)
             for a in range(start[d], start[d] + features[d], 255):
                 total += _SPREAD[lanes[a : min(a + 255, start[d] + features[d])]].sum(axis=0).view(np.uint8)
-            out[i + d] = np.packbits(2 * total > features[d]).view(np.uint64)
+            out[i + d] = np.packbits((2 * total > features[d]) | (2 * total == features[d]) & own[d]).view(np.uint64)
     return out, words
 
 
@@ -92,58 +95,56 @@ def _find(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[keep], b[keep]
 
 
-def near_pairs(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray | None, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of x and y (of x with itself if y is None) within the radius; rows are ordered by word count."""
+def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of x and y (of x with itself if y is None) within the radius; rows are ordered by population count."""
     own = y is None
-    y, ny = (x, nx) if own else (y, ny)
-    px, py = np.bitwise_count(x).sum(axis=1, dtype=np.int64), np.bitwise_count(y).sum(axis=1, dtype=np.int64)
+    y = x if own else y
+    px, py = population(x), population(y)
     xs, ys = [np.ascontiguousarray(x[:, k]) for k in range(WORDS)], [np.ascontiguousarray(y[:, k]) for k in range(WORDS)]
     wide, bits = np.empty((TILE, TILE), np.uint64), [np.empty((TILE, TILE), np.uint8) for _ in range(2)]
-    total = np.empty((TILE, TILE), np.uint16)
+    close = np.empty((TILE, TILE), bool)
     for i in range(0, len(x), TILE):
         p = slice(i, min(i + TILE, len(x)))
-        # word counts rise along y, so the ratio leaves one range of it
-        lo, hi = np.searchsorted(ny, math.ceil(nx[p.start] * ratio - 1e-9)), np.searchsorted(ny, math.floor(nx[p.stop - 1] / ratio + 1e-9), "right")
+        # population counts rise along y, so the radius leaves one range of it
+        lo, hi = np.searchsorted(py, px[p.start] - radius), np.searchsorted(py, px[p.stop - 1] + radius, "right")
         for j in range(max(lo, i) if own else lo, hi, TILE):
             q = slice(j, min(j + TILE, hi))
-            if px[p].min() - py[q].max() > radius or py[q].min() - px[p].max() > radius:
-                continue
             shape = (slice(0, p.stop - p.start), slice(0, q.stop - q.start))
-            w, c, s, t = wide[shape], bits[0][shape], bits[1][shape], total[shape]
+            w, c, s, near = wide[shape], bits[0][shape], bits[1][shape], close[shape]
             np.bitwise_xor(xs[0][p, None], ys[0][None, q], out=w)
             np.bitwise_count(w, out=s)
-            for k in (1, 2):
+            for k in range(1, WORDS):
                 np.bitwise_xor(xs[k][p, None], ys[k][None, q], out=w)
                 np.bitwise_count(w, out=c)
-                np.add(s, c, out=s)
-            np.bitwise_xor(xs[3][p, None], ys[3][None, q], out=w)
-            np.bitwise_count(w, out=c)
-            np.add(s, c, out=t, dtype=np.uint16)
-            a, b = np.nonzero(t <= radius)
-            if len(a):
+                np.add(s, c, out=s)  # 256 bits, all of them different, would count as 0 in a byte
+            np.less_equal(s, radius, out=near)
+            if near.any():
+                a, b = np.nonzero(near)
                 a, b = a + p.start, b + q.start
-                small, large = np.minimum(nx[a], ny[b]), np.maximum(nx[a], ny[b])
-                keep = small >= ratio * large - 1e-9
+                keep = population(x[a] ^ y[b]) <= radius
                 if own:
                     keep &= a < b
                 if keep.any():
                     yield a[keep], b[keep]
 
 
-def _compare(radius: int, ratio: float):
+def population(fp: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+
+
+def _compare(radius: int):
     def f(table: pa.Table) -> pa.Table:
-        cols = {c: table[c].to_numpy() for c in ("item", "n", "left", "f0", "f1", "f2", "f3", "own")}
-        order = np.lexsort((cols["item"], cols["n"]))
-        cols = {c: v[order] for c, v in cols.items()}
+        cols = {c: table[c].to_numpy() for c in ("item", "left", "f0", "f1", "f2", "f3", "own")}
         fp = np.stack([cols[f"f{k}"].view(np.uint64) for k in range(WORDS)], axis=1)
-        item, n, left = cols["item"], cols["n"], cols["left"].astype(bool)
+        order = np.lexsort((cols["item"], population(fp)))
+        fp, item, left, own = fp[order], cols["item"][order], cols["left"][order].astype(bool), cols["own"][0]
         parent = np.arange(len(item))
-        if cols["own"][0]:
-            for a, b in near_pairs(fp, n, None, None, radius, ratio):
+        if own:
+            for a, b in near_pairs(fp, None, radius):
                 _find(parent, a, b)
         else:
             x, y = np.flatnonzero(left), np.flatnonzero(~left)
-            for a, b in near_pairs(fp[x], n[x], fp[y], n[y], radius, ratio):
+            for a, b in near_pairs(fp[x], fp[y], radius):
                 _find(parent, x[a], y[b])
         tied = np.flatnonzero(parent != np.arange(len(item)))
         return pa.table({"a": item[tied], "b": item[parent[tied]]})
@@ -153,50 +154,51 @@ def _compare(radius: int, ratio: float):
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     """Identity of a row: its id (a null apart from all ids) and its text's hash."""
-    return [F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__kid"), F.xxhash64(F.col(text_col)).alias("__kh")]
+    return [id_key(id_col).alias("__kid"), F.xxhash64(F.col(text_col)).alias("__kh")]
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``(id, group_id, n_words, group_size, keep)`` for each row of ``docs``.
 
     group_id is the smallest id of the group; keep is true on one row of each group: the smallest id (nulls first),
     the first row if it repeats. Rows whose text is null or has no word are groups of their own with a null group_id, and
     are kept. Repeated rows belong to one group. Other columns, whatever their names, are ignored; an empty table gives none.
     """
-    return _groups(docs, id_col, text_col, radius, ratio).drop("__kid", "__kh")
+    return _groups(docs, id_col, text_col, radius).drop("__kid", "__kh")
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, ratio: float) -> DataFrame:
+def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
     spark = docs.sparkSession
     configure(spark)
     rows = docs.select(*_keys(docs, id_col, text_col), F.col(id_col).alias("__id"), fingerprint(F.col(text_col)).alias("__fp"))
     fps = stored(rows.select("__kid", "__kh", F.col("__id").alias("id"), "__fp.*"), "simhash")
     key = ["f0", "f1", "f2", "f3", "n"]
     items = stored(fps.where("n is not null").groupBy(*key).agg(F.min("id").alias("least")).withColumn("item", F.monotonically_increasing_id()), "items")
-    # a little wider than the ratio, so that pairs within the ratio lie in one cell or in neighbouring ones
-    cell = F.floor(F.log("n") / (-math.log(ratio) * 1.0001)).cast("int")
-    cells = {r[0]: r[1] for r in items.groupBy(cell.alias("cell")).count().collect()}  # as many as lengths on a log scale
-    block = min(BLOCK_MAX, max(BLOCK_MIN, max(cells.values(), default=0) // BLOCKS + 1))
-    blocks = {c: -(-m // block) for c, m in cells.items()}
-    table = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map().cast("map<int,int>")
-    count = lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0))
-    spread = items.select("item", *key, cell.alias("cell")).withColumn("block", F.pmod(F.xxhash64("item"), F.greatest(count(F.col("cell")), F.lit(1))).cast("int"))
-
-    def with_blocks(n: Column, task) -> Column:
-        """One task for each of n blocks: (cell, block) of both sides, whether the row is on the left one."""
-        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), task)
-
-    def task(c: Column, x: Column, d: Column, y: Column, left: Column) -> Column:
-        return F.struct(c.alias("c"), x.alias("x"), d.alias("d"), y.alias("y"), left.cast("int").alias("left"))
-
-    c, b, one = F.col("cell"), F.col("block"), F.lit(1)
-    every = F.concat(
-        with_blocks(count(c), lambda y: task(c, F.least(b, y), c, F.greatest(b, y), b <= y)),
-        with_blocks(count(c + 1), lambda y: task(c, b, c + 1, y, F.lit(True))),
-        with_blocks(count(c - 1), lambda y: task(c - one, y, c, b, F.lit(False))),
-    )
-    tasks = spread.select("item", *key, F.explode(every).alias("t")).select("item", *key, "t.*").withColumn("own", (F.col("c") == F.col("d")) & (F.col("x") == F.col("y")))
-    edges = tasks.groupBy("c", "x", "d", "y").applyInArrow(_compare(radius, ratio), "a bigint, b bigint")
+    # blocks are ranges of the population count, so that pairs of blocks beyond the radius are never made
+    population_ = F.bit_count("f0") + F.bit_count("f1") + F.bit_count("f2") + F.bit_count("f3")
+    counts = {r[0]: r[1] for r in items.groupBy(population_.alias("p")).count().collect()}  # 257 of them at most
+    block = min(BLOCK_MAX, max(BLOCK_MIN, sum(counts.values()) // BLOCKS + 1))
+    base, ranges, total = {}, {}, 0
+    for p in sorted(counts):
+        base[p] = total
+        for b in range(total // block, (total + counts[p] - 1) // block + 1):
+            lo, hi = ranges.get(b, (p, p))
+            ranges[b] = min(lo, p), max(hi, p)
+        total += counts[p]
+    # a row's block, from where its count begins and its own place among those of that count, by a hash
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    if counts:
+        p = F.col("p")
+        place = F.element_at(table(base), p) + F.pmod(F.xxhash64("item"), F.element_at(table(counts), p))
+        spread = items.withColumn("p", population_).withColumn("block", F.floor(place / F.lit(block)).cast("int"))
+    else:
+        spread = items.withColumn("block", F.lit(0))
+    with_ = {b: [o for o, (lo, hi) in ranges.items() if lo - ranges[b][1] <= radius and ranges[b][0] - hi <= radius] for b in ranges}
+    partners = spark.createDataFrame([(b, o) for b in with_ for o in with_[b]], "block int, other int")
+    b, o = F.col("block"), F.col("other")
+    # as many rows as pairs of blocks; its size decides how this joins
+    tasks = spread.select("item", *key[:WORDS], "block").join(partners, "block").select("item", *key[:WORDS], F.least(b, o).alias("x"), F.greatest(b, o).alias("y"), (b < o).cast("int").alias("left"), (b == o).alias("own"))
+    edges = tasks.groupBy("x", "y").applyInArrow(_compare(radius), "a bigint, b bigint")
     roots = components(edges)
     grouped = items.join(roots, items["item"] == roots["node"], "left").select(*key, "least", F.coalesce("root", "item").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("group_id"), F.count("*").alias("__texts"))
@@ -208,12 +210,12 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, ratio: flo
     return many.unionByName(single).withColumnRenamed("id", id_col)
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest id stays, with all its columns.
 
     Repeated rows are one group, so one of them stays. Rows without words all stay.
     """
-    kept = _groups(docs, id_col, text_col, radius, ratio).where("keep").select("__kid", "__kh", (F.col("n_words") > 0).alias("__worded")).distinct()
+    kept = _groups(docs, id_col, text_col, radius).where("keep").select("__kid", "__kh", (F.col("n_words") > 0).alias("__worded")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("__row"), *_keys(docs, id_col, text_col))
     same = Window.partitionBy("__kid", "__kh")
     left = rows.join(kept, ["__kid", "__kh"]).withColumn("__nth", F.row_number().over(same.orderBy("__worded")))

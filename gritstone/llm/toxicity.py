@@ -3,7 +3,7 @@
 Fit (on a bounded sample of labelled rows): the log-odds of each word, and of each word's beginnings, between toxic and clean
 documents under a Dirichlet prior, taken at the lower confidence bound, so that rare words and words of one copied text stay
 neutral. A word scores as the best of itself and its beginnings (an insult with any ending is one); all other words cost ``GAP``. Scan (over all texts, whole): the linear-time algorithm of Ruzzo and Tompa gives all maximal scoring segments.
-Calibration: Karlin-Altschul statistics. lambda solves E[exp(lambda s)] = 1 over the words of the clean sample, which sets K too, and a segment of score S in a text of n words has E = K n exp(-lambda S); p = 1 - exp(-E). A
+Log-odds are cut at ``CAP``, so that no single word decides. Calibration: Karlin-Altschul statistics. lambda solves E[exp(lambda s)] = 1 over the words of the clean sample, which sets K too, and a segment of score S in a text of n words has E = K n exp(-lambda S); p = 1 - exp(-E). A
 text's p-value is that of its best segments together, by the sum statistics of the same extreme-value law; it is toxic if
 that is below ``P_VALUE``.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gritstone.llm import arrowtext as at
 from gritstone.llm.shared import configure, stored
-from gritstone.llm.simhash import RADIUS, RATIO, WORDS, _find, fingerprint, near_pairs
+from gritstone.llm.simhash import RADIUS, WORDS, _find, fingerprint, near_pairs, population
 
 #: labelled rows that the fit reads at most, those with the smallest hash of their id: a bound on fitting alone
 FIT_ROWS = 8_000
@@ -96,12 +96,12 @@ def scored(model: Model, h: np.ndarray, stems: list[np.ndarray]) -> tuple[np.nda
     return hit, best[hit]
 
 
-def families(toxic: np.ndarray, fp: np.ndarray, words_in: np.ndarray) -> np.ndarray:
+def families(toxic: np.ndarray, fp: np.ndarray) -> np.ndarray:
     """Number of each document's family: copies of one text, labels apart, count once. Near-equal fingerprints tell them."""
     family = np.arange(len(toxic))
     if len(fp):
-        order = np.argsort(words_in, kind="stable")
-        for a, b in near_pairs(fp[order], words_in[order], None, None, RADIUS, RATIO):
+        order = np.argsort(population(fp), kind="stable")
+        for a, b in near_pairs(fp[order], None, RADIUS):
             a, b = order[a], order[b]
             same = toxic[a] == toxic[b]
             _find(family, a[same], b[same])
@@ -134,7 +134,8 @@ def fit_arrays(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray, family: np.nda
 def calibrated(model: Model, n: np.ndarray, top: np.ndarray, values: np.ndarray, counts: np.ndarray) -> Model:
     """The model with lambda and K from clean texts: word counts, best segments' scores, and how many words have each score.
 
-    Each scored word, with its beginnings, has half a pseudo-count. K is by moments, and 1 where none of the texts has a segment.
+    Each scored word, with its beginnings, has half a pseudo-count. K is by moments, and 1 where none of the texts has a segment;
+    it is kept in [0.1, 1], as few clean texts have segments: below 0.1 p-values come out larger than they are, above 1 smaller.
     """
     seen = np.concatenate([counts, 0.5 * (np.ones(len(model.scores)) if model.alike is None else model.alike)])
     lam = _lambda(np.concatenate([values, model.scores]), seen / (n.sum() + seen.sum() + 1.0), model.gap)
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = _sorted(sample.select("__i", "__h", "__y", fingerprint(F.col("__t")).alias("__f")).select("__i", "__h", "__y", "__f.*"))
     whole = lambda c: pc.fill_null(rows[c], 0).to_numpy().astype(np.int64)
     toxic = (whole("__y") > 0).astype(np.int64)
-    family = families(toxic, np.stack([whole(f"f{k}").view(np.uint64) for k in range(WORDS)], axis=1), whole("n"))
+    family = families(toxic, np.stack([whole(f"f{k}").view(np.uint64) for k in range(WORDS)], axis=1))
     least = MIN_SHARE * len(np.unique(family[toxic > 0]))
     often = sample.where("__y > 0").select(F.explode(_words(F.col("__t"))).alias("h")).groupBy("h").count().where(F.col("count") >= least).select("h").toArrow()
     known_words = np.sort(often["h"].to_numpy().astype(np.int64).view(np.uint64))
@@ -226,9 +227,10 @@ def text_p(model: Model, n: int, tops: np.ndarray) -> float:
     """p-value of a text of n words from its segments' scores in falling order.
 
     For the best r segments together, Karlin and Altschul's sum statistic: with t the sum of lambda S - ln(K n) over them,
-    p = exp(-t) t**(r - 1) / (r! (r - 1)!). The smallest over r counts, each weighted with 2**-r for the choice of r.
+    p = exp(-t) t**(r - 1) / (r! (r - 1)!). The smallest over r counts, each divided by 2**-r for the choice of r: the weights
+    add up to 1, so p-values of clean texts stay uniform or larger.
     """
-    best = float(-np.expm1(-model.k * n * np.exp(-model.lam * tops[0])))
+    best = min(1.0, 2 * float(-np.expm1(-model.k * n * np.exp(-model.lam * tops[0]))))
     t = np.cumsum(model.lam * tops - np.log(model.k * n))
     for r in range(2, len(tops) + 1):
         x = t[r - 1]
@@ -268,7 +270,8 @@ def scan(model: Model, data: np.ndarray, offsets: np.ndarray, p_value: float = P
 def toxicity(text: Column, model: Model, p_value: float = P_VALUE) -> Column:
     """Struct ``(n, score, p, segments)`` of a text: segments are word ranges [start, stop) with p below ``p_value``.
 
-    A null or empty text has n 0, score 0, p 1 and no segment.
+    A null or empty text has n 0, score 0, p 1 and no segment. p is that of all its segments together, so a text can have a small
+    p without a significant segment of its own.
     """
 
     @F.arrow_udf(_RESULT)
@@ -292,7 +295,10 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", p_value: float = P_VALUE) -> DataFrame:
-    """The rows of ``docs`` without a significant toxic passage, with all their columns."""
+    """The rows of ``docs`` whose segments together aren't significantly toxic (p at least ``p_value``), with all their columns.
+
+    Null and empty texts, null ids and repeated rows stay, each row judged by its text alone; an empty table gives none.
+    """
     configure(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col)
     return docs.where(toxicity(F.col(text_col), model, p_value)["p"] >= p_value)

@@ -40,7 +40,7 @@ def test_giants(spark, blanks):
     r = random.Random(5)
     text = "".join(r.choice("abcdefghijklmnop" + " " * 4 * blanks) for _ in range(9000))
     docs = spark.createDataFrame([row(1, text), row(1, text), row(2, text[:50]), row(None, text[1:])], SCHEMA)
-    out = P.encode_texts(docs, giant=500, size=200).collect()
+    out = P.encode_texts(docs, giant=500, size=200, fan=3).collect()  # four levels of products
     assert len(out) == 4 and all(r.lossless for r in out)
     want = {1: SP.encode(text), 2: SP.encode(text[:50]), None: SP.encode(text[1:])}
     assert all(r.ids == want[r.doc_id] and r.n_tokens == len(r.ids) for r in out)
@@ -56,6 +56,25 @@ def test_odd_rows(odd, empty):
     assert P.encode_texts(empty).count() == 0
 
 
+def test_states_go_down_the_tree_as_by_a_scan():
+    s = ("the quick antidisestablishmentarianism " * 60).replace(" ", P.BLANK)
+    parts = P.chunks(V, s, 64)
+    made = [P.Chunk(V, c, a, b, k == 0, k == len(parts) - 1).transfer() for k, (c, a, b) in enumerate(parts)]
+    whole = P.boundary_states(made)
+    runs = [made[i : i + 4] for i in range(0, len(made), 4)]
+    ends = P.boundary_states([P.product(x) for x in runs])
+    assert ends == whole[::4] + ([] if len(made) % 4 == 0 else [whole[-1]])
+    assert [x for k, run in enumerate(runs) for x in P.boundary_states(run, ends[k], ends[k + 1])[:-1]] == whole[:-1]
+
+
+def test_decode_takes_no_strange_ids(spark):
+    df = spark.createDataFrame([(1, [5, None, 300]), (2, None), (3, []), (4, SP.encode("漢字 x")[:2])], "i int, ids array<int>")
+    got = {r.i: r.t for r in df.select("i", P.decoded(df["ids"]).alias("t")).collect()}
+    assert got[2] is None and got[3] == "" and got[1] == V.decode([5, 300]) and got[4] == V.decode(SP.encode("漢字 x")[:2])
+    with pytest.raises(Exception, match="vocabulary lacks"):
+        df.select(P.decoded(P.F.array(P.F.lit(10_000_000))).alias("t")).collect()
+
+
 def test_decode(spark):
     texts = ["a b", "", "ß€😀", "  two  blanks ", "line\nbreak"]
     df = spark.createDataFrame([(i, SP.encode(t)) for i, t in enumerate(texts)], "i int, ids array<int>")

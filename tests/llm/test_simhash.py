@@ -25,7 +25,7 @@ def corpus(n=60, seed=3):
     return out
 
 
-def brute(texts, radius=S.RADIUS, ratio=S.RATIO):
+def brute(texts, radius=S.RADIUS):
     """Components over all pairs, bit by bit."""
     fp, n = S.fingerprints(*at.bytes_of(pa.array(texts, pa.large_string())))
     parent = list(range(len(texts)))
@@ -37,7 +37,7 @@ def brute(texts, radius=S.RADIUS, ratio=S.RATIO):
 
     for a in range(len(texts)):
         for b in range(a):
-            if n[a] and n[b] and sum(int(x).bit_count() for x in fp[a] ^ fp[b]) <= radius and min(n[a], n[b]) >= ratio * max(n[a], n[b]):
+            if n[a] and n[b] and sum(int(x).bit_count() for x in fp[a] ^ fp[b]) <= radius:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return [find(i) for i in range(len(texts))]
@@ -73,10 +73,28 @@ def test_fingerprints_by_definition():
         pair = own[:-1] * np.uint64(3) + own[1:] * np.uint64(0x9E3779B97F4A7C15)
         for k in range(S.WORDS):
             bits = np.unpackbits(at.mix(pair, k)[:, None].view(np.uint8), axis=1)
-            want = np.packbits(2 * bits.sum(axis=0) > len(pair)).view(np.uint64)[0]
+            own_bits = np.unpackbits(at.mix(at.mix(pair, 0).sum(keepdims=True), S.WORDS + k).view(np.uint8)).astype(bool)
+            twice = 2 * bits.sum(axis=0, dtype=int)
+            want = np.packbits((twice > len(pair)) | (twice == len(pair)) & own_bits).view(np.uint64)[0]
             assert fp[d, k] == want
 
 
+def test_a_doubled_text_is_a_copy(spark):
+    """Distance alone decides, whatever the lengths; short texts that share half of their pairs are none."""
+    text = words(random.Random(8), 300)
+    docs = spark.createDataFrame([row(1, text), row(2, text + " " + text), row(3, "a b c"), row(4, "a b d"), row(5, "e f g h i"), row(6, "e f g x y")], SCHEMA)
+    got = {r.doc_id: r.group_id for r in S.near_groups(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
+def test_blocks_beyond_the_radius_are_skipped_without_loss():
+    r = np.random.default_rng(1)
+    fp = np.concatenate([r.integers(0, 1 << 62, (300, 4), np.uint64), np.zeros((3, 4), np.uint64), np.full((3, 4), ~np.uint64(0)), r.integers(0, 1 << 62, (50, 4), np.uint64) & r.integers(0, 1 << 62, (50, 4), np.uint64)])
+    fp = fp[np.argsort(S.population(fp), kind="stable")]
+    got = {(int(a), int(b)) for x, y in S.near_pairs(fp, None, S.RADIUS) for a, b in zip(x, y)}
+    assert got == {(a, b) for a in range(len(fp)) for b in range(a + 1, len(fp)) if np.bitwise_count(fp[a] ^ fp[b]).sum() <= S.RADIUS}
+
+
 def test_odd_rows(odd, empty):
     rows = S.near_groups(odd).collect()
     assert len(rows) == odd.count()
