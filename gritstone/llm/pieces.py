@@ -30,7 +30,7 @@ from gritstone.llm.shared import configure, id_key, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: characters from which on a text is split into chunks, and of a chunk; matrices of one product
-GIANT, CHUNK, FAN = 8_192, 4_096, 32
+GIANT, CHUNK, FAN = 24_576, 4_096, 8
 #: distinct words that a worker remembers; beyond it starts anew, with the same results
 REMEMBER = 1_000_000
 BLANK = "▁"
