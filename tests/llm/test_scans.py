@@ -167,6 +167,67 @@ def test_no_short_passwords(text):
     assert S.scan(text) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'password = """{SECRET}"""',
+        f"passwords = ['{SECRET}', '{SECRET[::-1]}']",
+        f"a, password = 'x1', '{SECRET}'",
+        f"password: |\n  {SECRET}\nother: 1",
+        f'<add key="password" value="{SECRET}"/>',
+        f"a = '{SECRET}'; b = a; secret = self.b",
+        f"{'x' * 100}_password = '{SECRET}'",
+        f"password{' ' * 40}= '{SECRET}'",
+        f"<password>{SECRET * 120}</password>",
+        f"postgres://{'u' * 90}:{SECRET * 6}@host/db",
+    ],
+)
+def test_forms_of_any_length(text):
+    assert any(text[a:b].startswith(SECRET[:10]) for a, b, *_ in S.scan(text))
+
+
+def test_a_sum_through_a_name_is_one_value():
+    text = f"part = '{SECRET}'\nsecret = part + '/end'\n"
+    assert [(name, text[a:b]) for a, b, name, *_ in S.scan(text)] == [("secret", "/end")]
+
+
+def test_names_against_all_paths():
+    """Literals that names hold, by walking every path of assignments from every literal."""
+    r = random.Random(7)
+    for _ in range(60):
+        names = [f"n{k}" for k in range(8)]
+        lines = [f"{r.choice(names)} = " + (f"'{r.randrange(10**9):09d}'" if r.random() < 0.4 else r.choice(names)) for _ in range(14)]
+        pairs = S.assignments("\n".join(lines))
+        defined = {n for n, _ in pairs}
+        want: dict = {n: set() for n in defined}
+        for name, ((kind, value, a, b),) in pairs:
+            if kind == "literal" or value not in defined:
+                todo, seen = [name], set()
+                while todo:
+                    n = todo.pop()
+                    if n not in seen:
+                        seen.add(n)
+                        want[n].add((a, b))
+                        todo += [t for t, ((k, v, *_),) in pairs if k == "name" and v == n]
+        assert {n: set(p) for n, p in S.held(pairs).items()} == want
+
+
+def test_scans_are_linear():
+    """A word of a megabyte, and a chain of names the wrong way round, take seconds."""
+    import time
+
+    from gritstone.llm import pii
+
+    pii.fit()
+    began = time.perf_counter()
+    for w in ("0123456789abcdef" * 60_000, "a" * 10**6, "a." * 500_000 + "=1", "a@" * 400_000, "[" * 10**6):
+        S.scan(w)
+        pii.entities(pii.fit(), [w])
+    chain = "\n".join(f"v{i} = v{i + 1}" for i in range(20_000)) + f"\nv20000 = '{SECRET}'\nsecret = v0"
+    assert len(S.scan(chain)) == 1
+    assert time.perf_counter() - began < 60
+
+
 def test_secrets_in_long_and_odd_texts(spark, odd, empty):
     assert S.secrets(odd).count() == 0 and S.secrets(empty).count() == 0
     text = "w " * 40_000 + f'token = "{SECRET}"'
