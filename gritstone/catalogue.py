@@ -1,7 +1,8 @@
 """All queries of the engine, apart from those of the llm subpackage, with their SQL.
 
 The tables of the lake stand in for those of a source tree: ``embeddings`` are functions with vectors, ``documents`` files,
-``labels`` a partial cache of them, ``events`` diagnostics. Every query reads its whole tables.
+``labels`` a partial cache of them, ``events`` diagnostics. Every query reads its whole tables; those named ``python_*`` scan the
+three sources below, and ``cli_names`` is the dimension of providers, as the lake has no tables for them.
 """
 
 from __future__ import annotations
@@ -49,21 +50,26 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cosine_rows(_read(spark, sf_dir, "embeddings"))
 
 
+def _shown(pairs: DataFrame) -> DataFrame:
+    """Scores as they are shown, to six digits; thresholds hold for what is behind them."""
+    return pairs.withColumn("score", F.round("score", 6) + 0.0)
+
+
 # --- vectors and pairs
 
 _PAIRS = """
   SELECT a.vec_id AS i, b.vec_id AS j, a.label AS la, b.label AS lb,
-         round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS score
+         list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS raw, round(raw, 6) + 0.0 AS score
   FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
 """
 
 
-@_query(f"SELECT i, j, score FROM ({_PAIRS}) WHERE score >= {PAIR}")
+@_query(f"SELECT i, j, score FROM ({_PAIRS}) WHERE raw >= {PAIR}")
 def sim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.pairs(_vectors(spark, sf_dir), PAIR)
+    return _shown(S.pairs(_vectors(spark, sf_dir), PAIR))
 
 
-@_query(f"""SELECT i, j, score FROM ({_PAIRS}) WHERE score >= {PAIR}
+@_query(f"""SELECT i, j, score FROM ({_PAIRS}) WHERE raw >= {PAIR}
   AND NOT (contains('label_' || la, 'label_1') AND contains('label_' || lb, 'label_2'))
   AND NOT (contains('label_' || la, 'label_2') AND contains('label_' || lb, 'label_1'))
   AND NOT (contains('label_' || la, 'label_3') AND contains('label_' || lb, 'label_3'))""")
@@ -71,11 +77,11 @@ def sim_pairs_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings")
     file = F.concat(F.lit("label_"), F.col("label"))
     flags = e.select(F.col("vec_id").alias("ord"), S.exclusion(file, F.concat_ws(":", file, F.col("vec_id").cast("string")), _EXCLUDED).alias("x"))
-    return S.pairs(_vectors(spark, sf_dir).join(flags, "ord"), PAIR)
+    return _shown(S.pairs(_vectors(spark, sf_dir).join(flags, "ord"), PAIR))
 
 
 _NEIGHBOURS = f"""SELECT i, count(*) AS n, array_to_string(list_slice(list(j ORDER BY j), 1, 3), ',') AS first
-  FROM ({_PAIRS}) WHERE score >= {NEAR} GROUP BY i HAVING count(*) >= 2"""
+  FROM ({_PAIRS}) WHERE raw >= {NEAR} GROUP BY i HAVING count(*) >= 2"""
 
 
 @_query(_NEIGHBOURS)
@@ -86,7 +92,7 @@ def sim_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT i, j, score FROM ({_PAIRS})")
 def sim_matrix_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.pairs(_vectors(spark, sf_dir))
+    return _shown(S.pairs(_vectors(spark, sf_dir)))
 
 
 _MAX = f"""SELECT e.vec_id AS ord, greatest(coalesce(max(p.score), 0), 0) AS max_sim FROM embeddings e
@@ -95,12 +101,12 @@ _MAX = f"""SELECT e.vec_id AS ord, greatest(coalesce(max(p.score), 0), 0) AS max
 
 @_query(_MAX)
 def sim_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.max_similarity(_vectors(spark, sf_dir))
+    return S.max_similarity(_vectors(spark, sf_dir)).withColumn("max_sim", F.round("max_sim", 6) + 0.0)
 
 
 @_query(f"SELECT ord, round(25.403 * pow(max_sim, 5), 6) AS idx FROM ({_MAX})")
 def sim_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.max_similarity(_vectors(spark, sf_dir)).select("ord", F.round(V.similarity_index(F.col("max_sim")), 6).alias("idx"))
+    return sim_max(spark, sf_dir).select("ord", F.round(V.similarity_index(F.col("max_sim")), 6).alias("idx"))
 
 
 @_query(f"""SELECT ord, cc, cog, max_sim, refactor FROM (
@@ -113,7 +119,7 @@ def sim_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refactor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("int")
     metrics = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), ((count(",") + 1) % 40).alias("cc"), (count("\n") % 30).alias("cog"))
-    return S.refactor_priorities(S.max_similarity(_vectors(spark, sf_dir)), metrics, REFACTOR, TOP)
+    return S.refactor_priorities(sim_max(spark, sf_dir), metrics, REFACTOR, TOP)
 
 
 @_query("""WITH v AS (SELECT a.vec_id AS ord, a.embedding::DOUBLE[] AS q, b.embedding::DOUBLE[] AS p
@@ -126,7 +132,7 @@ def jina_symmetrized(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("passage"))
     both = e.join(passages, "vec_id", "left")
     dim = e.agg(F.max(F.size("embedding"))).first()[0] or 1
-    return S.pairs(S.symmetrized_rows(both, "vec_id", "embedding", "passage", dim))
+    return _shown(S.pairs(S.symmetrized_rows(both, "vec_id", "embedding", "passage", dim)))
 
 
 @_query("""SELECT vec_id, pos - 1 AS pos, round(v[pos] / sqrt(2 * list_sum(list_transform(v, lambda x: x * x))), 6) + 0.0 AS value
@@ -425,13 +431,108 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@_query(f"""SELECT i, j, printf('label_%d:%d f() vs label_%d:%d f(): %.1f%% similar', la, i, lb, j, score * 100) AS message FROM ({_PAIRS}) WHERE score >= {PAIR}""")
+@_query(f"""SELECT i, j, printf('label_%d:%d f() - label_%d:%d f() - similarity: %.1f%%', la, i, lb, j, score * 100) AS message FROM ({_PAIRS}) WHERE raw >= {PAIR}""")
 def pair_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("label_"), F.col("label")).alias("file"))
     found = sim_pairs(spark, sf_dir).join(e.select(F.col("vec_id").alias("i"), F.col("file").alias("fi")), "i").join(e.select(F.col("vec_id").alias("j"), F.col("file").alias("fj")), "j")
     return found.select("i", "j", T.pair_message(F.col("fi"), F.col("i"), F.lit("f"), F.col("fj"), F.col("j"), F.lit("f"), F.col("score")).alias("message"))
 
 
+# --- further operators
+
+
+@_query("""SELECT doc_id, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS vec FROM documents d
+  WHERE lang = 'en' OR NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def cache_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_hash"), "lang")
+    rebuilt = d.where("lang = 'en'").select("content_hash", F.lit("new").alias("vec"))
+    old = d.select("content_hash", F.lit("old").alias("vec"))
+    replaced = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("content_hash"))
+    return C.retain_out_of_scope(rebuilt, old, replaced).withColumnRenamed("content_hash", "doc_id")
+
+
+@_query("""WITH v AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS q, b.embedding::DOUBLE[] AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+  n AS (SELECT *, sqrt(list_sum(list_transform(list_concat(q, p), lambda x: x * x))) AS n FROM v)
+  SELECT vec_id, round(q[1] / n, 6) + 0.0 AS query_first, round(p[1] / n, 6) + 0.0 AS passage_first, CAST(len(q) + len(p) AS INTEGER) AS size FROM n""")
+def query_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("passage")), "vec_id")
+    one, two = V.query_passage_members(V.doubles(F.col("embedding")), V.doubles(F.col("passage")))
+    return both.select("vec_id", (F.round(F.get(one, F.lit(0)), 6) + 0.0).alias("query_first"), (F.round(F.get(two, F.lit(0)), 6) + 0.0).alias("passage_first"), F.size(one).alias("size"))
+
+
+@_query("SELECT doc_id, CAST(n_chars AS DOUBLE) AS value, coalesce(CAST(quality * 2000 AS DOUBLE), 300) AS allowed FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars < coalesce(quality * 2000, 300)")
+def metric_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric of which less is worse, as maintainability is."""
+    metrics = _read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("value"))
+    baseline = _read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2000).cast("double").alias("value"))
+    return G.regressions(metrics, baseline, ["doc_id"], 300.0, below=True)
+
+
+_BOTH = f"""SELECT doc_id, {_LINES} AS lines, n_chars FROM documents"""
+
+
+@_query(f"""SELECT doc_id, lines, n_chars, lines > 12 AS many_lines, n_chars > 2000 AS many_chars FROM ({_BOTH}) WHERE lines > 12 OR n_chars > 2000""")
+def two_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two limits in one scan, as for cyclomatic and cognitive complexity."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", T.line_count(F.col("text")).alias("lines"), "n_chars")
+    return G.beyond(d, {"lines": (12, "many_lines"), "n_chars": (2000, "many_chars")})
+
+
+@_query("SELECT event_type AS code, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 3")
+def top_codes_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.top_codes(_read(spark, sf_dir, "events").select(F.col("event_type").alias("code"), "event_id"), limit=3, order=["event_id"])
+
+
+@_query(f"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.0 END AS lo, CASE WHEN doc_id % 3 = 0 THEN 50.0 END AS hi FROM documents),
+  d AS (SELECT doc_id, round(CASE WHEN code <= 0 THEN 0 ELSE 100.0 * comments / code END, 2) AS density, code, coalesce(lo, 1.0) AS lo, coalesce(hi, 5.0) AS hi FROM ({_DENSITY}) JOIN r USING (doc_id))
+  SELECT doc_id::VARCHAR AS file, density, CAST(CASE WHEN density < lo THEN lo ELSE hi END AS DOUBLE) AS bound, CASE WHEN density < lo THEN 'below' ELSE 'above' END AS side FROM d WHERE code >= 2 AND (density < lo OR density > hi)""")
+def density_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _density_files(spark, sf_dir)
+    files = d.select(F.col("doc_id").cast("string").alias("file"), T.density(F.col("comments"), F.col("code")).alias("density"), (F.col("code") < 2).alias("exempt"))
+    ranges = d.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("file"), F.lit(0.0).alias("min"), F.lit(50.0).alias("max"))
+    return G.density_violations(files, ranges, 1.0, 5.0)
+
+
+@_query("SELECT doc_id, source || '/' || lang || '.py' AS file FROM documents WHERE source <> 'src1'")
+def density_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents")
+    return G.density_scope(d.select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit(".py")).alias("file")), "src1")
+
+
+@_query("""SELECT count(*) - count(l.doc_id) AS missing, (SELECT list_aggregate(list(s ORDER BY doc_id), 'string_agg', ',') FROM (
+    SELECT doc_id, format('{}:{} f{}()', source, doc_id, doc_id) AS s FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 10)) AS first
+  FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def missing_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.plans import similarity_gate
+
+    fs = _functions(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("source").alias("file"), F.col("doc_id").alias("start_line"), F.concat(F.lit("f"), F.col("doc_id")).alias("name"), "content_hash")
+    cache = _labelled(spark, sf_dir).select("content_hash", F.col("quality").alias("vec"))
+    return similarity_gate.advice(fs, cache, "content_hash").select("missing", F.array_join("first", ",").alias("first"))
+
+
+@_query("SELECT doc_id, source AS file, CAST(n_chars AS INTEGER) AS loc FROM documents WHERE n_chars >= 500 AND NOT contains(source, 'src1') AND NOT contains(source, 'src2')")
+def selected_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gritstone.plans import similarity_gate
+
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), F.col("n_chars").cast("int").alias("loc"))
+    return similarity_gate.select_functions(d, 500, ["src1", "src2"])
+
+
+@_query("SELECT round(sum(v), 4) AS variance FROM (SELECT var_samp(x) AS v FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY pos)")
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components together hold the variance of the vectors themselves."""
+    e = _read(spark, sf_dir, "embeddings")
+    parts = R.transform_pca(e, R.fit_pca(e, variance=1.0)).select(F.posexplode("reduced").alias("pos", "x"))
+    return parts.groupBy("pos").agg(F.var_samp("x").alias("v")).agg(F.round(F.sum("v"), 4).alias("variance"))
+
+
+@_query("SELECT label, count(*) AS n, CAST(2 AS BIGINT) AS clusters FROM embeddings GROUP BY label")
+def kmeans_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a group of enough rows is in one of two clusters."""
+    return kmeans_split(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"))
+
+
 # --- beyond SQL
 
 
@@ -448,7 +549,7 @@ def pca_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def pca_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings")
-    return S.pairs(S.cosine_rows(R.transform_pca(e, R.fit_pca(e)), vec_col="reduced"), PAIR)
+    return _shown(S.pairs(S.cosine_rows(R.transform_pca(e, R.fit_pca(e)), vec_col="reduced"), PAIR))
 
 
 @_query()

@@ -73,8 +73,18 @@ def percent(score: Column) -> Column:
     return F.format_string("%.1f%%", score * 100)
 
 
+def place(file: Column, line: Column, name: Column) -> Column:
+    return F.format_string("%s:%d %s()", file, line, name)
+
+
 def pair_message(file_a: Column, line_a: Column, name_a: Column, file_b: Column, line_b: Column, name_b: Column, score: Column) -> Column:
-    return F.format_string("%s:%d %s() vs %s:%d %s(): %s similar", file_a, line_a, name_a, file_b, line_b, name_b, percent(score))
+    return F.concat(place(file_a, line_a, name_a), F.lit(" - "), place(file_b, line_b, name_b), F.lit(" - similarity: "), percent(score))
+
+
+def neighbours_message(file: Column, line: Column, name: Column, n: Column, first: Column) -> Column:
+    """A function, how many others are like it, and the first of these; ``first`` is an array of (place, score)."""
+    shown = F.array_join(F.transform(first, lambda x: F.concat(x["place"], F.lit(" ("), percent(x["score"]), F.lit(")"))), ", ")
+    return F.concat(place(file, line, name), F.lit(" has "), n.cast("string"), F.lit(" similar functions: "), shown)
 
 
 def ignored_path(path: Column, ignored: tuple[str, ...] = IGNORED_DIRS) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,19 @@ def update(baseline: DataFrame, current: DataFrame, keys: list[str], above: floa
     from gritstone.operators.cache import upsert
 
     return upsert(baseline, current.where(F.col(value_col) > above), keys)
+
+
+def ratchet_file(spark: SparkSession, path: Path, kind: str, current: dict) -> bool:
+    """Tightens a baseline file by what is measured now, under its lock; true if that changed it.
+
+    Only what the baseline lacks or has too high is written; a file that stays as it is isn't rewritten.
+    """
+    from gritstone.sources import config
+
+    with config.locked_envelope(path, kind, rewrite=False) as held:
+        new = ratchet_data(spark, held["data"], current)
+        changed = new != held["data"]
+        if changed:
+            held["data"] = new
+            config.write_json(path, held)
+    return changed

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,25 @@ def regressions(metrics: DataFrame, baseline: DataFrame, keys: list[str], thresh
     return joined.where(worse).drop("__b")
 
 
+def beyond(metrics: DataFrame, limits: dict[str, tuple[float, str]]) -> DataFrame:
+    """Rows of which some metric is above its limit, and which ones are: several gates in one scan. ``limits`` are column: (most, flag)."""
+    flags = {flag: F.coalesce(F.col(c) > most, F.lit(False)) for c, (most, flag) in limits.items()}
+    marked = metrics.withColumns(flags)
+    return marked.where(reduce(lambda a, b: a | b, [F.col(f) for f in flags]))
+
+
 def classify(counts: DataFrame, baseline: DataFrame, keys: list[str], count_col: str = "n") -> DataFrame:
     """``(keys, n, allowed, class)`` of counts above their baseline: a regression, or new where that is 0 or missing."""
     joined = counts.join(baseline.select(*keys, F.col(count_col).alias("__b")), keys, "left").withColumn("allowed", F.coalesce("__b", F.lit(0)))
     return joined.where(F.col(count_col) > F.col("allowed")).select(*keys, count_col, "allowed", F.when(F.col("allowed") > 0, "regression").otherwise("new").alias("class"))
 
 
-def top_codes(diagnostics: DataFrame, code_col: str = "code", limit: int = 5) -> DataFrame:
-    """``(code, n)``: the most frequent, ties by name."""
-    return diagnostics.groupBy(code_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), code_col).limit(limit)
+def top_codes(diagnostics: DataFrame, code_col: str = "code", limit: int = 5, order: list[str] | None = None) -> DataFrame:
+    """``(code, n)``: the most frequent; of equally frequent ones the one that comes first by the columns ``order``, then by name."""
+    first = [F.min(F.struct(*order)).alias("__first")] if order else []
+    counted = diagnostics.groupBy(code_col).agg(F.count("*").alias("n"), *first)
+    by = [F.desc("n"), *(["__first"] if order else []), code_col]
+    return counted.orderBy(*by).limit(limit).select(code_col, "n")
 
 
 def report(diagnostics: DataFrame) -> DataFrame:
@@ -51,6 +63,16 @@ def missing_docstrings(items: DataFrame, dir_col: str, has_doc: Column, allowed:
     return out.withColumn("ok", F.col("missing") <= F.col("allowed"))
 
 
+def density_scope(files: DataFrame, root_tests: str = "tests") -> DataFrame:
+    """Files whose comments count: those that don't lie in the project's own directory of tests (paths relative to its root)."""
+    return files.where(~F.startswith("file", F.lit(root_tests.rstrip("/") + "/")))
+
+
+def violation_values(violations: DataFrame, keys: list[str]) -> DataFrame:
+    """``(path, value)`` of what violates now, as a baseline has it: the current values that a ratchet takes."""
+    return violations.select(F.array(*[F.col(k).cast("string") for k in keys]).alias("path"), F.col("value").cast("double").alias("value"))
+
+
 def density_violations(files: DataFrame, ranges: DataFrame, least: float, most: float) -> DataFrame:
     """``(file, density, bound, side)`` of files outside their range; those with short functions alone are exempt.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import fcntl
 import json
 import os
 import tempfile
@@ -114,6 +115,15 @@ def load_dotenv(start: Path | str | None = None, environ: dict[str, str] | None
     return None
 
 
+def api_key(provider: str, environ: Mapping[str, str] | None = None) -> str:
+    """The key in <PROVIDER>_API_KEY; KeyError, which names the variable, where that is missing or blank."""
+    name = f"{provider.split('_')[0].upper()}_API_KEY"
+    value = (os.environ if environ is None else environ).get(name, "").strip()
+    if not value:
+        raise KeyError(f"{name} isn't set")
+    return value
+
+
 def write_json(path: Path, data: object) -> None:
     """Written beside and renamed, so that readers see the old file or the new one."""
     path.parent.mkdir(parents=True, exist_ok=True)
@@ -137,22 +147,21 @@ def save_envelope(path: Path, data: dict, kind: str) -> None:
 
 
 @contextlib.contextmanager
-def locked_envelope(path: Path, kind: str, seconds: float = LOCK_SECONDS) -> Iterator[dict]:
-    """The envelope while no other process has it; what the block leaves in it is saved."""
+def locked_envelope(path: Path, kind: str, seconds: float = LOCK_SECONDS, rewrite: bool = True) -> Iterator[dict]:
+    """The envelope while no other process has it; what the block leaves in it is saved, unless ``rewrite`` is false."""
     lock = path.with_suffix(path.suffix + ".lock")
     lock.parent.mkdir(parents=True, exist_ok=True)
     end = time.monotonic() + seconds
-    while True:
-        try:
-            os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
-            break
-        except FileExistsError:
-            if time.monotonic() > end:
-                raise TimeoutError(f"{lock} is held") from None
-            time.sleep(0.05)
-    try:
+    with lock.open("w") as held:  # the system lets go of it when the process ends, however that may be
+        while True:
+            try:
+                fcntl.flock(held, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                break
+            except BlockingIOError:
+                if time.monotonic() > end:
+                    raise TimeoutError(f"{lock} is held") from None
+                time.sleep(0.05)
         data = load_envelope(path, kind)
         yield data
-        save_envelope(path, data, kind)
-    finally:
-        lock.unlink()
+        if rewrite:
+            save_envelope(path, data, kind)

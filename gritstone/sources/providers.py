@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Callable, Iterator
+from importlib.metadata import entry_points
 from typing import Protocol, runtime_checkable
 
 import numpy as np
@@ -67,6 +68,10 @@ class Registry:
             except Exception as e:  # any plugin may fail in any way
                 warnings.warn(f"a provider could not be loaded: {e}", stacklevel=2)
 
+    def discover_installed(self, group: str = "gritstone.providers") -> None:
+        """Registers the providers of installed packages, by their entry points."""
+        self.discover([lambda e=e: e.load()() for e in entry_points(group=group)])
+
     def get(self, name: str) -> Provider:
         return self._by[name]
 
@@ -81,7 +86,12 @@ def truncate(text: str, limit: int, encode: Callable[[str], list[int]], decode:
 
 
 def embed_batches(provider: Provider, texts: list[str], attempts: int = ATTEMPTS, delays: tuple[float, ...] = DELAYS, transient: Callable[[Exception], bool] = lambda e: True, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
-    """Vectors in the order of the texts, a request a batch; transient failures are tried again after growing delays."""
+    """Vectors in the order of the texts, a request a batch; transient failures are tried again after growing delays.
+
+    A provider with ``encode`` and ``decode`` gets at most ``max_tokens`` of a text's tokens, which is what its model can take.
+    """
+    if hasattr(provider, "encode") and hasattr(provider, "decode"):
+        texts = [truncate(x, provider.max_tokens, provider.encode, provider.decode) for x in texts]
     out: list[list[float]] = []
     for i in range(0, len(texts), provider.batch_size):
         part = texts[i : i + provider.batch_size]

@@ -1,19 +1,21 @@
 """Python sources as relations: functions, docstring items, complexity, comments, wrappers and calls.
 
 A source table is ``(path, content)``. Files are parsed where they lie, a batch at a time, once for all that is asked of them;
-what doesn't parse has no rows.
+what doesn't parse, or nests too deeply for the parser, has no rows but in ``rejects`` and ``file_metrics``.
 """
 
 from __future__ import annotations
 
 import ast
 import io
+import json
 import math
 import tokenize
 from collections.abc import Callable, Iterator
 from fnmatch import fnmatchcase
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -45,6 +47,34 @@ def collapse_roots(roots: list[str]) -> list[str]:
     return [r for r in once if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in once)]
 
 
+def relative(files: DataFrame, root: str) -> DataFrame:
+    """``files`` with paths from ``root`` on, as baselines and exclusions have them on every machine; paths elsewhere stay."""
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    base = root.rstrip("/") + "/"
+    return files.withColumn("path", F.when(F.startswith(plain, F.lit(base)), F.substring(plain, len(base) + 1, 1 << 30)).otherwise(F.col("path")))
+
+
+def notebook_code(content: str) -> str | None:
+    """The code cells of a notebook, one after another, magics as comments; None for what is no notebook."""
+    try:
+        cells = json.loads(content)["cells"]
+        code = ["".join(c["source"]) for c in cells if c["cell_type"] == "code"]
+    except (ValueError, KeyError, TypeError):
+        return None
+    return "\n".join("# " + x if x.lstrip()[:1] in ("%", "!") else x for c in code for x in c.split("\n")) + ("\n" if code else "")
+
+
+def with_notebooks(files: DataFrame) -> DataFrame:
+    """Text files ``(path, content)`` in which a notebook's content is its code; what is no notebook keeps its own, and is rejected as source."""
+
+    @F.arrow_udf("string")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in batches:
+            yield pa.array([x if x is None or (c := notebook_code(x)) is None else c for x in arr.to_pylist()], pa.string())
+
+    return files.withColumn("content", F.when(F.endswith("path", F.lit(".ipynb")), code(F.col("content"))).otherwise(F.col("content")))
+
+
 def split_utf8(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files whose content is UTF-8, with it as a string, and the paths of the others."""
     good = F.is_valid_utf8("content")
@@ -57,30 +87,63 @@ def code_lines(sources: DataFrame) -> DataFrame:
     return lines.select("file", (F.col("line") + 1).alias("line"), ((F.trim("t") != "") & ~F.startswith(F.trim("t"), F.lit("#"))).alias("is_code"))
 
 
+#: what a file may do to the parser, or to a walk over its tree
+_BAD = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
 def _parse(source: str) -> ast.Module | None:
     try:
         return ast.parse(source)
-    except (SyntaxError, ValueError):
+    except _BAD:
         return None
 
 
-def _scan(sources: DataFrame, rows_of: Callable[[str, str, ast.Module], list[tuple]], schema: str) -> DataFrame:
+def _scan(sources: DataFrame, rows_of: Callable[[str, str, ast.Module], list[tuple]], schema: str, broken: Callable[[str, str], list[tuple]] = lambda path, source: []) -> DataFrame:
+    """Rows of every file; of one that doesn't parse, or is too deep to walk, those of ``broken``."""
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
     arrow = to_arrow_schema(kind)
 
+    def of(path: str, source: str) -> list[tuple]:
+        tree = _parse(source)
+        if tree is None:
+            return broken(path, source)
+        try:
+            return rows_of(path, source, tree)
+        except (RecursionError, MemoryError):
+            return broken(path, source)
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for path, source in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                tree = _parse(source) if source is not None else None
-                if tree is not None:
-                    rows += rows_of(path, source, tree)
+                if source is not None:
+                    rows += of(path, source)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(arrow), arrow)], schema=arrow)
 
     return sources.select("path", "content").mapInArrow(f, schema)
 
 
+def rejects(sources: DataFrame) -> DataFrame:
+    """``(file, reason)`` of files that the scans give no rows: they don't parse, or nest too deeply."""
+
+    def rows_of(path: str, source: str, tree: ast.Module) -> list[tuple]:
+        ast.unparse(tree)
+        tree_dump(tree)
+        return []
+
+    def broken(path: str, source: str) -> list[tuple]:
+        try:
+            ast.parse(source)
+        except (SyntaxError, ValueError) as e:
+            return [(path, f"{type(e).__name__}: {e}")]
+        except (RecursionError, MemoryError):
+            pass
+        return [(path, "nested too deeply")]
+
+    return _scan(sources, rows_of, "file string, reason string", broken)
+
+
 # --- functions
 
 
@@ -99,7 +162,7 @@ def comment_lines(lines: list[str], first: int, last: int) -> list[str]:
     own = lines[first - 1 : last]
     try:
         at = [t.start[0] for t in tokenize.generate_tokens(io.StringIO("\n".join(own)).readline) if t.type == tokenize.COMMENT]
-    except tokenize.TokenError:
+    except (tokenize.TokenError, SyntaxError):
         return [x for x in own if "#" in x]
     return [own[k - 1] for k in at if k <= len(own)]
 
@@ -131,7 +194,8 @@ def tree_dump(node: ast.AST) -> str:
 def functions(sources: DataFrame, min_loc: int = 1) -> DataFrame:
     """Functions and classes of at least ``min_loc`` executable lines, breadth first, without ``__init__``.
 
-    ``ord`` numbers all rows by directory, file and place in the file. Hashes are made in the JVM.
+    ``ord`` numbers all rows by directory, file and place in the file. Hashes are made in the JVM. The rows are kept on the
+    executors' disks while they are numbered, so that files are read and parsed once.
     """
 
     def rows_of(path: str, source: str, tree: ast.Module) -> list[tuple]:
@@ -144,7 +208,7 @@ def functions(sources: DataFrame, min_loc: int = 1) -> DataFrame:
         return out
 
     rows = _scan(sources, rows_of, "file string, place int, name string, kind string, start_line int, end_line int, loc int, dump string, text string, text_for_embedding string, ast_text string, docstring string")
-    hashed = rows.withColumn("hash", T.content_hash(F.col("dump"))).withColumn("text_hash", T.content_hash(F.col("text_for_embedding"))).drop("dump")
+    hashed = rows.withColumn("hash", T.content_hash(F.col("dump"))).withColumn("text_hash", T.content_hash(F.col("text_for_embedding"))).drop("dump").persist(StorageLevel.DISK_ONLY)
     # a function's number is what its directory, its file and itself have before them: only the directories meet in one task
     folder = F.regexp_replace("file", "[^/]*$", "")
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -301,7 +365,7 @@ def raw_metrics(source: str) -> dict[str, int]:
                 start_of_line = False
             if t.type in (tokenize.NEWLINE, tokenize.NL, tokenize.INDENT, tokenize.DEDENT):
                 start_of_line = True
-    except (tokenize.TokenError, IndentationError):
+    except (tokenize.TokenError, SyntaxError):
         pass
     blank = {i for i, x in enumerate(lines, 1) if not x.strip()}
     return {"loc": len(lines), "comments": comments, "multi": len(multi - blank), "sloc": len(code - blank)}
@@ -314,15 +378,21 @@ def body_lines(node: ast.AST) -> int:
 
 
 def file_metrics(sources: DataFrame) -> DataFrame:
-    """``(file, lines, sloc, comments, density, exempt, mi)`` of every file; exempt has functions, all of them short. What doesn't parse has no row."""
+    """``(file, lines, sloc, comments, density, exempt, mi)`` of every file; exempt has functions, all of them short.
 
-    def rows_of(path: str, source: str, tree: ast.Module) -> list[tuple]:
+    What doesn't parse has its lines and comments all the same, and the worst maintainability, 0: it passes no gate by being broken.
+    """
+
+    def row(path: str, source: str, exempt: bool, mi: float) -> tuple:
         m = raw_metrics(source)
-        bodies = [body_lines(n) for n in ast.walk(tree) if isinstance(n, _DEFS)]
         code = m["loc"] - m["multi"] - m["comments"]
-        return [(path, source.count("\n") + (bool(source) and source[-1] != "\n"), m["sloc"], m["comments"], 100.0 * m["comments"] / code if code > 0 else 0.0, bool(bodies) and max(bodies) < SHORT_BODY, round(maintainability(source, tree), 2))]
+        return (path, source.count("\n") + (bool(source) and source[-1] != "\n"), m["sloc"], m["comments"], 100.0 * m["comments"] / code if code > 0 else 0.0, exempt, mi)
+
+    def rows_of(path: str, source: str, tree: ast.Module) -> list[tuple]:
+        bodies = [body_lines(n) for n in ast.walk(tree) if isinstance(n, _DEFS)]
+        return [row(path, source, bool(bodies) and max(bodies) < SHORT_BODY, round(maintainability(source, tree), 2))]
 
-    return _scan(sources, rows_of, "file string, lines int, sloc int, comments int, density double, exempt boolean, mi double")
+    return _scan(sources, rows_of, "file string, lines int, sloc int, comments int, density double, exempt boolean, mi double", lambda path, source: [row(path, source, False, 0.0)])
 
 
 # --- wrappers

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.schema import CACHE
+from gritstone.schema import CACHE, HASHES
 
 
 def deflate(vec: list[float]) -> str:
@@ -53,6 +53,30 @@ def read_legacy(spark: SparkSession, path: str, cache_key: str) -> DataFrame:
     return rows.select(F.lit(cache_key).alias("cache_key"), "content_hash", inflated(F.col("v")).alias("vec")).where("vec is not null")
 
 
+def function_hashes(spark: SparkSession, data: dict) -> DataFrame:
+    """A baseline ``{"file:name:line": {"hash", "text_hash"}}`` as rows; in the older form the value is the hash alone.
+
+    TypeError for any other value, ValueError for a key without its three parts. A baseline is a small file.
+    """
+    rows = []
+    for key, value in data.items():
+        file, name, line = (key.rsplit(":", 2) + [""] * 3)[:3]
+        if not (file and name and line.isdigit()):
+            raise ValueError(f"no file:name:line: {key!r}")
+        if isinstance(value, str):
+            value = {"hash": value}
+        if not isinstance(value, dict) or not isinstance(value.get("hash"), str) or not isinstance(value.get("text_hash"), (str, type(None))):
+            raise TypeError(f"neither a hash nor hashes: {key!r}")
+        rows.append((file, name, int(line), value["hash"], value.get("text_hash")))
+    return spark.createDataFrame(rows, HASHES)
+
+
+def hashes_data(functions: DataFrame) -> DataFrame:
+    """``(key, json)`` of functions, as a baseline has them."""
+    key = F.concat_ws(":", "file", "name", F.col("start_line").cast("string"))
+    return functions.select(key.alias("key"), F.to_json(F.struct("hash", "text_hash")).alias("json"))
+
+
 def write_cache(cache: DataFrame, path: str) -> None:
     """Only the partitions (cache keys) that ``cache`` has are replaced."""
     cache.write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").partitionBy("cache_key").parquet(path)

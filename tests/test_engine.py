@@ -321,3 +321,44 @@ def test_clusters_and_split(spark):
     got = {(x.file, x.start_line): x.cluster for x in R.clusters(df, "file", "start_line", "embedding").collect()}
     assert [got["big", k] for k in range(12)] == [0] * 6 + [1] * 6 and got["small", 1] == 0
     assert rows(R.split_proposals(df)) == [("big", 0, "f0, f1, f2, f3, f4, f5"), ("big", 1, "f6, f7, f8, f9, f10, f11")]
+
+
+def test_function_hashes(spark):
+    from gritstone.sources import vectors as X
+
+    data = {"src/a.py:f:3": {"hash": "h", "text_hash": "t"}, "src/b.py:C.g:10": "old"}
+    assert rows(X.function_hashes(spark, data)) == [("src/a.py", "f", 3, "h", "t"), ("src/b.py", "C.g", 10, "old", None)]
+    with pytest.raises(TypeError):
+        X.function_hashes(spark, {"a:f:1": 3})
+    with pytest.raises(ValueError):
+        X.function_hashes(spark, {"a": "h"})
+    back = {r.key: r.json for r in X.hashes_data(X.function_hashes(spark, data)).collect()}
+    assert back["src/a.py:f:3"] == '{"hash":"h","text_hash":"t"}'
+
+
+def test_ratchet_file_writes_only_what_is_tighter(spark, tmp_path):
+    p = tmp_path / "b.json"
+    assert B.ratchet_file(spark, p, "complexity", {"a": 5, "d": {"x": 2}})
+    before = p.stat().st_mtime_ns
+    assert not B.ratchet_file(spark, p, "complexity", {"a": 9}) and p.stat().st_mtime_ns == before
+    assert B.ratchet_file(spark, p, "complexity", {"a": 3}) and K.load_envelope(p, "complexity")["data"] == {"a": 3, "d": {"x": 2}}
+    # a lock file that nobody holds, as a killed process leaves it, holds up nobody
+    assert p.with_suffix(".json.lock").exists()
+
+
+def test_keys_and_truncation():
+    assert K.api_key("openai_text", {"OPENAI_API_KEY": " k "}) == "k"
+    with pytest.raises(KeyError, match="JINA_API_KEY"):
+        K.api_key("jina", {"JINA_API_KEY": " "})
+    from gritstone.sources.providers import HashingProvider, embed_batches
+
+    class Short(HashingProvider):
+        max_tokens = 2
+
+        def encode(self, text):
+            return text.split()
+
+        def decode(self, ids):
+            return " ".join(ids)
+
+    assert embed_batches(Short(), ["a b c d"]) == HashingProvider().embed(["a b"])

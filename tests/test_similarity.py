@@ -75,7 +75,7 @@ def test_odd_vectors(spark):
 def test_symmetrized(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], [1.0, 0.0]), (1, [1.0, 0.0], [0.0, 1.0]), (2, None, None)], "i long, q array<double>, p array<double>")
     got = {(r.i, r.j): r.score for r in S.pairs(S.symmetrized_rows(df, "i", "q", "p", 2)).collect()}
-    assert got == {(0, 1): 0.5, (0, 2): 0.0, (1, 2): 0.0}
+    assert got == pytest.approx({(0, 1): 0.5, (0, 2): 0.0, (1, 2): 0.0})
 
 
 def test_three_copies_have_one_neighbour_row(spark):
@@ -117,3 +117,17 @@ def test_priorities(spark):
     got = S.refactor_priorities(best, metrics, 12.0, 2).collect()
     assert [r.ord for r in got] == [3, 0]
     assert [r.ord for r in S.refactor_priorities(best, metrics, 0.0, None).orderBy("ord").collect()] == [0, 1, 2, 3]
+
+
+def test_thresholds_hold_for_the_score_itself(spark):
+    a = 0.8599996
+    rows = S.cosine_rows(table(spark, [[1.0, 0.0], [a, float(np.sqrt(1 - a * a))]]))
+    assert S.pairs(rows, 0.86).count() == 0 and S.pairs(rows, 0.8599).count() == 1
+
+
+def test_one_pass_gives_pairs_and_maxima(spark):
+    x = np.random.default_rng(2).normal(size=(40, 8)).tolist()
+    rows = S.cosine_rows(table(spark, x))
+    both = S.pairs_and_maxima(rows, 0.3, block_bytes=8 * 64)
+    assert sorted(map(tuple, both.where("j is not null").collect())) == sorted(map(tuple, S.pairs(rows, 0.3, block_bytes=8 * 64).collect()))
+    assert sorted(map(tuple, S.maxima_of(both).collect())) == sorted(map(tuple, S.max_similarity(rows).collect()))

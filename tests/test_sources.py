@@ -126,6 +126,38 @@ def test_the_gate_end_to_end(spark):
     assert [(r.i, r.n) for r in plan["neighbours"].collect()] == [(0, 2)]
     assert {r.ord for r in plan["refactor"].collect()} == {0, 1, 2}
     rows = similarity_gate.report({"openai_text": plan}).collect()
-    assert len(rows) == 4 and any("a:1 f() vs a:4 g(): 100.0% similar" in r.message for r in rows)
+    assert sorted(r.kind for r in rows) == ["neighbours", *["pair"] * 3, *["refactor"] * 3]
+    assert any("a:1 f() has 2 similar functions: a:4 g() (100.0%), b:1 h() (100.0%)" == r.message for r in rows)
+    assert any("a:1 f() - a:4 g() - similarity: 100.0%" in r.message for r in rows)
     lacking = similarity_gate.advice(fs, cache.limit(0), "text_hash", 2).first()
     assert lacking.missing == 5 and lacking["first"] == ["a:1 f()", "a:4 g()"]
+
+
+def test_functions_without_vectors_and_symmetrized_providers(spark):
+    body = "    x = 1\n    return x\n"
+    deep = "".join(f"{'    ' * (k + 1)}if x:\n" for k in range(8)) + "    " * 9 + "pass\n"
+    files = table(spark, a=f"def f():\n{body}def g():\n{body}def h(x):\n{deep}")
+    fs = P.functions(files)
+    hashes = {r.name: r.text_hash for r in fs.collect()}
+    cache = spark.createDataFrame([("jina_text_query", hashes["f"], [1.0, 0.0]), ("jina_text_passage", hashes["f"], [1.0, 0.0]), ("jina_text_query", hashes["g"], [1.0, 0.0]), ("jina_text_passage", hashes["g"], [0.0, 1.0])], "cache_key string, content_hash string, vec array<float>")
+    metrics = P.complexity_map(P.complexity(files))
+    plans, skipped = similarity_gate.run_all(fs, cache, config={"similarity_threshold_pair": 0.4, "refactor_index_threshold": 5.0}, metrics=metrics)
+    assert list(plans) == ["jina_text"] and skipped["openai_ast"].first().missing == 3
+    assert [(r.name_i, r.name_j, round(r.score, 6)) for r in plans["jina_text"]["pairs"].collect()] == [("f", "g", 0.5)]
+    assert [(r.ord, r.max_sim) for r in plans["jina_text"]["refactor"].collect()] == [(2, 0.0)]  # no vector, but complex
+
+
+def test_broken_and_deep_files_are_rejects(spark):
+    files = table(spark, ok="def f():\n    return 1\n", broken="def f(:\n# c\n", deep="x = " + "1+" * 20_000 + "1\n", wide="def g():\n    return " + "+".join(["1"] * 2800) + "\n")
+    assert {r.name for r in P.functions(files).collect()} >= {"f"}
+    assert {"broken", "deep"} <= {r.file for r in P.rejects(files).collect()} and "ok" not in {r.file for r in P.rejects(files).collect()}
+    m = {r.file: r for r in P.file_metrics(files).collect()}
+    assert len(m) == 4 and m["broken"].mi == 0.0 and m["broken"].lines == 2 and m["broken"].comments <= 1 and m["ok"].mi > 0
+    P.complexity(files).collect()
+
+
+def test_notebooks_and_paths_from_the_root(spark):
+    book = '{"cells": [{"cell_type": "markdown", "source": ["# t"]}, {"cell_type": "code", "source": ["%time\\n", "def f():\\n", "    return 1"]}]}'
+    files = spark.createDataFrame([("file:/r/nb/a.ipynb", book), ("/r/b.py", "def g():\n    return 2\n"), ("/other/c.py", "x = 1\n"), ("/r/no.ipynb", "[]")], "path string, content string")
+    got = {(r.file, r.name) for r in P.functions(P.with_notebooks(P.relative(files, "/r"))).collect()}
+    assert got == {("nb/a.ipynb", "f"), ("b.py", "g")}
