@@ -1,13 +1,15 @@
-"""SimHash near-dedup: 256-bit fingerprints compared exactly, tile by tile.
+"""SimHash near-dedup: 256-bit fingerprints compared exactly, by buckets of near keys.
 
 A fingerprint sums the signed bits of all word pairs of a text; bits on which the pairs are divided equally are those of a hash of all of
 them, so that short texts don't agree by default. Two texts are near copies if their fingerprints differ in at most ``radius``
-bits, whatever their lengths; groups are the connected components. Every pair is compared: rows are ordered by population
-count, and a pair of tiles, or of whole blocks, is skipped only if its population counts differ beyond the radius. Equal
-fingerprints are collapsed first, and each task hands on a spanning forest of the pairs it found, so a group of thousands
-stays linear.
-
-The comparison is quadratic in the number of distinct texts; the README has measured figures.
+bits, whatever their lengths; groups are the connected components. No pair within the radius is missed: were the distance of each
+of the four words at least its share of ``radius + 1``, they would add up to more than the radius, so one word is nearer than its
+share, and likewise one part of that word. Rows are therefore put into buckets by each part of each word, only buckets whose keys are near enough are compared, by
+that word alone, and what that leaves by all bits. Where this costs more than comparing all tiles of all bits, that is done
+instead. Equal fingerprints are collapsed first, and each task hands on a spanning forest of the pairs it found, so a group of
+thousands stays linear.
+
+The buckets leave out a fixed share of the pairs, so time is still quadratic in the number of distinct texts, with a small factor; the README has measured figures.
 """
 
 from __future__ import annotations
@@ -25,7 +27,12 @@ from gritstone.llm.shared import components, configure, id_key, stored
 WORDS = 4
 RADIUS = 66
 TILE = 256
-BLOCK_MIN, BLOCK_MAX, BLOCKS = 2048, 1 << 18, 6
+#: rows of a block, at most; tasks that a block is compared in, together, and rows from which on they are that many
+BLOCK_MAX, SLICES, BLOCK_MIN = 1 << 20, 12, 2048
+#: parts that a word may be cut into; nanoseconds, as measured, of a pair by all bits, a pair by one word, a row looked up, and a bucket
+PARTS, PAIR_NS, WORD_NS, ROW_NS, BUCKET_NS = (4, 5, 6, 7, 8), 15.0, 2.7, 8.0, 60_000.0
+#: pairs compared at once; candidates held before they are compared by all bits
+AT_ONCE, HELD = 1 << 17, 1 << 18
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
@@ -95,15 +102,18 @@ def _find(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[keep], b[keep]
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of x and y (of x with itself if y is None) within the radius; rows are ordered by population count."""
+def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int, nth: int = 0, of: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of x and y (of x with itself if y is None) within the radius; rows are ordered by population count.
+
+    Of the tiles of x, every ``of``-th is taken, from the ``nth`` on.
+    """
     own = y is None
     y = x if own else y
     px, py = population(x), population(y)
     xs, ys = [np.ascontiguousarray(x[:, k]) for k in range(WORDS)], [np.ascontiguousarray(y[:, k]) for k in range(WORDS)]
     wide, bits = np.empty((TILE, TILE), np.uint64), [np.empty((TILE, TILE), np.uint8) for _ in range(2)]
     close = np.empty((TILE, TILE), bool)
-    for i in range(0, len(x), TILE):
+    for i in range(nth * TILE, len(x), of * TILE):
         p = slice(i, min(i + TILE, len(x)))
         # population counts rise along y, so the radius leaves one range of it
         lo, hi = np.searchsorted(py, px[p.start] - radius), np.searchsorted(py, px[p.stop - 1] + radius, "right")
@@ -128,24 +138,164 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: int) -> Iterator[tup
                     yield a[keep], b[keep]
 
 
+def split(total: int, n: int) -> list[int]:
+    """``total`` in n nearly equal numbers, larger ones first."""
+    return [total // n + (k < total % n) for k in range(n)]
+
+
+def tables(radius: int, parts: int) -> list[tuple[int, int, int, int, int]]:
+    """(word, its radius, shift, width, radius) of the parts of words such that each pair within the radius is near in one of them, and in its word.
+
+    If distances d_k add up to r at most, and numbers n_k to r + 1, some d_k < n_k: numbers of the words, and of a word's parts.
+    """
+    out = []
+    for word, near in enumerate(split(radius + 1, WORDS)):
+        shift = 0
+        for width, n in zip(split(64, parts), split(near, parts)):
+            if n:
+                out.append((word, near - 1, shift, width, n - 1))
+            shift += width
+    return out
+
+
+def keys(fp: np.ndarray, word: int, shift: int, width: int) -> np.ndarray:
+    return (fp[:, word] >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
+def ball(width: int, radius: int) -> np.ndarray:
+    """Numbers of ``width`` bits with at most ``radius`` bits set."""
+    return np.flatnonzero(np.bitwise_count(np.arange(1 << width, dtype=np.uint32)) <= radius)
+
+
+def _walsh(v: np.ndarray) -> np.ndarray:
+    """The Walsh-Hadamard transform, under which sums over all a ^ b = c become products."""
+    v, size, step = v.astype(float), len(v), 1
+    while step < size:
+        v = v.reshape(-1, 2, step)
+        v = np.stack([v[:, 0] + v[:, 1], v[:, 0] - v[:, 1]], axis=1)
+        step *= 2
+    return v.ravel()
+
+
+def plan(x: np.ndarray, y: np.ndarray, radius: int) -> int:
+    """In how many parts words are best cut, by the buckets of a sample; 0 if all bits of all pairs are cheaper."""
+    pairs = len(x) * len(y)
+    sx, sy = x[:: len(x) // (1 << 15) + 1], y[:: len(y) // (1 << 15) + 1]
+    best, least = 0, PAIR_NS * pairs
+    for parts in PARTS:
+        cost = 0.0
+        for word, _, shift, width, near in tables(radius, parts):
+            size, near_ = 1 << width, ball(width, near)
+            buckets = min(size, len(x))
+            cost += buckets * (2 * BUCKET_NS + len(near_) / size * len(y) * ROW_NS)
+            if cost >= least:
+                break
+            around = np.zeros(size)
+            around[near_] = 1
+            hx, hy = (np.bincount(keys(s, word, shift, width), minlength=size) for s in (sx, sy))
+            cost += (_walsh(hx) * _walsh(hy) * _walsh(around)).sum() / size / (len(sx) * len(sy)) * pairs * WORD_NS
+        if cost < least:
+            best, least = parts, cost
+    return best
+
+
+def word_pairs(x: np.ndarray, y: np.ndarray | None, radius: int, parts: int, nth: int = 0, of: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of x and y (of x with itself if y is None), all those within the radius among them, that are near in one word.
+
+    Some come several times. Of the buckets of x, every ``of``-th is taken, from the ``nth`` on.
+    """
+    own = y is None
+    xor, count, near = np.empty(AT_ONCE, np.uint64), np.empty(AT_ONCE, np.uint8), np.zeros(AT_ONCE, bool)
+    for word, within, shift, width, far in tables(radius, parts):
+        around = ball(width, far).astype(np.uint32)
+        sides = []
+        for z in (x,) if own else (x, y):
+            k = keys(z, word, shift, width)
+            order = np.argsort(k.astype(np.uint16) if width <= 16 else k, kind="stable")
+            size = np.bincount(k, minlength=1 << width)
+            sides.append((order, np.ascontiguousarray(z[order, word]), np.cumsum(size) - size, size))
+        (xo, xv, xfirst, xsize), (yo, yv, yfirst, ysize) = sides[0], sides[-1]
+        for b in np.flatnonzero(xsize)[nth::of]:
+            others = around ^ np.uint32(b)
+            if own:
+                others = others[others >= b]
+            n = ysize[others]
+            others, n = others[n > 0], n[n > 0]
+            end = np.cumsum(n)
+            if not len(end):
+                continue
+            at_ = np.repeat(yfirst[others] - end + n, n)
+            at_ += np.arange(end[-1])
+            v = yv[at_]
+            rows = max(8, AT_ONCE // len(v))
+            for i in range(xfirst[b], xfirst[b] + xsize[b], rows):
+                u = xv[i : min(i + rows, xfirst[b] + xsize[b]), None]
+                step = AT_ONCE // len(u)
+                for j in range(0, len(v), step):
+                    w = v[None, j : j + step]
+                    shape, size = (len(u), w.shape[1]), len(u) * w.shape[1]
+                    np.bitwise_xor(u, w, out=xor[:size].reshape(shape))
+                    np.bitwise_count(xor[:size], out=count[:size])
+                    np.less_equal(count[:size], within, out=near[:size])
+                    near[size : size + 7] = False
+                    # eight at a time, as nearly all are false
+                    hit = np.flatnonzero(near[: (size + 7) // 8 * 8].view(np.uint64))
+                    if len(hit):
+                        k, l = np.nonzero(near[: (size + 7) // 8 * 8].reshape(-1, 8)[hit])
+                        p, q = np.divmod(hit[k] * 8 + l, shape[1])
+                        p, q = xo[p + i], yo[at_[q + j]]
+                        if own:
+                            p, q = p[p != q], q[p != q]
+                        yield p, q
+
+
+def forest(fp: np.ndarray, left: np.ndarray | None, radius: int, nth: int = 0, of: int = 1) -> np.ndarray:
+    """Parents of rows ordered by population count, linked where they are within the radius: all with all, or those left with the others.
+
+    ``nth`` and ``of`` take a share of the pairs; all shares together link what is within the radius.
+    """
+    parent = np.arange(len(fp))
+    x = np.arange(len(fp)) if left is None else np.flatnonzero(left)
+    y = x if left is None else np.flatnonzero(~left)
+    if not len(x) or not len(y):
+        return parent
+    fx, fy = (fp, None) if left is None else (fp[x], fp[y])
+    parts = plan(fx, fx if fy is None else fy, radius)
+    pairs = word_pairs(fx, fy, radius, parts, nth, of) if parts else near_pairs(fx, fy, radius, nth, of)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def settle() -> None:
+        a, b = x[np.concatenate([h[0] for h in held])], y[np.concatenate([h[1] for h in held])]
+        open_ = parent[a] != parent[b]
+        a, b = a[open_], b[open_]
+        on = population(fp[a] ^ fp[b]) <= radius
+        if on.any():
+            _find(parent, a[on], b[on])
+
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= HELD:
+            settle()
+            held, n = [], 0
+    if held:
+        settle()
+    return parent
+
+
 def population(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
 
 
 def _compare(radius: int):
     def f(table: pa.Table) -> pa.Table:
-        cols = {c: table[c].to_numpy() for c in ("item", "left", "f0", "f1", "f2", "f3", "own")}
-        fp = np.stack([cols[f"f{k}"].view(np.uint64) for k in range(WORDS)], axis=1)
-        order = np.lexsort((cols["item"], population(fp)))
-        fp, item, left, own = fp[order], cols["item"][order], cols["left"][order].astype(bool), cols["own"][0]
-        parent = np.arange(len(item))
-        if own:
-            for a, b in near_pairs(fp, None, radius):
-                _find(parent, a, b)
-        else:
-            x, y = np.flatnonzero(left), np.flatnonzero(~left)
-            for a, b in near_pairs(fp[x], fp[y], radius):
-                _find(parent, x[a], y[b])
+        fp = np.stack([table[f"f{k}"].to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
+        item, left = table["item"].to_numpy(), table["left"].to_numpy().astype(bool)
+        order = np.lexsort((item, population(fp)))
+        fp, item, left = fp[order], item[order], left[order]
+        own, nth, of = (table[c][0].as_py() for c in ("own", "nth", "of"))
+        parent = forest(fp, None if own else left, radius, nth, of)
         tied = np.flatnonzero(parent != np.arange(len(item)))
         return pa.table({"a": item[tied], "b": item[parent[tied]]})
 
@@ -174,31 +324,20 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFra
     fps = stored(rows.select("__kid", "__kh", F.col("__id").alias("id"), "__fp.*"), "simhash")
     key = ["f0", "f1", "f2", "f3", "n"]
     items = stored(fps.where("n is not null").groupBy(*key).agg(F.min("id").alias("least")).withColumn("item", F.monotonically_increasing_id()), "items")
-    # blocks are ranges of the population count, so that pairs of blocks beyond the radius are never made
-    population_ = F.bit_count("f0") + F.bit_count("f1") + F.bit_count("f2") + F.bit_count("f3")
-    counts = {r[0]: r[1] for r in items.groupBy(population_.alias("p")).count().collect()}  # 257 of them at most
-    block = min(BLOCK_MAX, max(BLOCK_MIN, sum(counts.values()) // BLOCKS + 1))
-    base, ranges, total = {}, {}, 0
-    for p in sorted(counts):
-        base[p] = total
-        for b in range(total // block, (total + counts[p] - 1) // block + 1):
-            lo, hi = ranges.get(b, (p, p))
-            ranges[b] = min(lo, p), max(hi, p)
-        total += counts[p]
-    # a row's block, from where its count begins and its own place among those of that count, by a hash
-    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    if counts:
-        p = F.col("p")
-        place = F.element_at(table(base), p) + F.pmod(F.xxhash64("item"), F.element_at(table(counts), p))
-        spread = items.withColumn("p", population_).withColumn("block", F.floor(place / F.lit(block)).cast("int"))
-    else:
-        spread = items.withColumn("block", F.lit(0))
-    with_ = {b: [o for o, (lo, hi) in ranges.items() if lo - ranges[b][1] <= radius and ranges[b][0] - hi <= radius] for b in ranges}
-    partners = spark.createDataFrame([(b, o) for b in with_ for o in with_[b]], "block int, other int")
-    b, o = F.col("block"), F.col("other")
-    # as many rows as pairs of blocks; its size decides how this joins
-    tasks = spread.select("item", *key[:WORDS], "block").join(partners, "block").select("item", *key[:WORDS], F.least(b, o).alias("x"), F.greatest(b, o).alias("y"), (b < o).cast("int").alias("left"), (b == o).alias("own"))
-    edges = tasks.groupBy("x", "y").applyInArrow(_compare(radius), "a bigint, b bigint")
+    n = items.count()
+    blocks = max(1, -(-n // BLOCK_MAX))
+    of = max(1, min(SLICES // blocks, n // BLOCK_MIN))
+    tasks = [(b, o, nth) for b in range(blocks) for o in range(b, blocks) for nth in range(of)]
+    # numbers that hash to partitions of their own, so that no task waits for another; any number does where one is missing
+    labels = spark.range(32 * len(tasks)).select(F.col("id").cast("int"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(len(tasks))).alias("p")).groupBy("p").agg(F.min("id")).collect()
+    label = {r[0]: r[1] for r in labels}
+    numbers = [label.get(k, 32 * len(tasks) + k) for k in range(len(tasks))]
+    sides = [(b, t, nth, b == o, True) for t, (b, o, nth) in zip(numbers, tasks)] + [(o, t, nth, False, False) for t, (b, o, nth) in zip(numbers, tasks) if b != o]
+    # as many rows as tasks, times two; its size decides how this joins
+    partners = spark.createDataFrame(sides, "block int, task int, nth int, own boolean, left boolean")
+    spread = items.select("item", *key[:WORDS], F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = spread.join(partners, "block").select("task", "nth", F.lit(of).alias("of"), "own", "left", "item", *key[:WORDS])
+    edges = dealt.repartition(len(tasks), "task").groupBy("task").applyInArrow(_compare(radius), "a bigint, b bigint")
     roots = components(edges)
     grouped = items.join(roots, items["item"] == roots["node"], "left").select(*key, "least", F.coalesce("root", "item").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("group_id"), F.count("*").alias("__texts"))

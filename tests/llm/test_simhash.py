@@ -105,3 +105,61 @@ def test_odd_rows(odd, empty):
     assert left.columns == odd.columns
     assert left.count() == odd.count() - 3
     assert S.near_groups(empty).count() == 0 and S.drop_near_copies(empty).count() == 0
+
+
+def planted(n, radius, seed=2):
+    """Random fingerprints, and copies of the first with as many bits changed as the radius allows, or one more."""
+    r = np.random.default_rng(seed)
+    fp = r.integers(0, 1 << 63, (n, 4)).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, (n, 4)).astype(np.uint64)
+    bits = np.unpackbits(fp[: n // 4].view(np.uint8), axis=1)
+    for k, row_ in enumerate(bits):
+        row_[r.choice(256, radius + k % 2, replace=False)] ^= 1
+    fp = np.concatenate([fp, np.packbits(bits, axis=1).view(np.uint64)])
+    return fp[np.argsort(S.population(fp), kind="stable")]
+
+
+def within(pairs, x, y, radius):
+    return {(int(i), int(j)) for a, b in pairs for i, j in zip(a, b) if np.bitwise_count(x[i] ^ y[j]).sum() <= radius}
+
+
+def test_buckets_miss_no_pair():
+    """At the very radius, for every cut of the words, all with all and some with others; the shares together are all."""
+    for radius in (2, S.RADIUS):
+        fp = planted(400, radius)
+        want = within(S.near_pairs(fp, None, radius), fp, fp, radius)
+        assert len(want) >= 50
+        x, y = fp[::2], fp[1::2]
+        across = within(S.near_pairs(x, y, radius), x, y, radius)
+        for parts in S.PARTS[1:]:
+            got = set().union(*(within(S.word_pairs(fp, None, radius, parts, k, 3), fp, fp, radius) for k in range(3)))
+            assert {(min(p), max(p)) for p in got} == want
+            assert within(S.word_pairs(x, y, radius, parts), x, y, radius) == across
+    fp = planted(300, S.RADIUS)
+    got = within(S.word_pairs(fp, None, S.RADIUS, 4), fp, fp, S.RADIUS)
+    assert {(min(p), max(p)) for p in got} == within(S.near_pairs(fp, None, S.RADIUS), fp, fp, S.RADIUS)
+
+
+def test_plan_goes_by_the_buckets():
+    """Many rows are not compared pair by pair; rows that share their keys are, as buckets leave nothing out there."""
+    fp = planted(60_000, S.RADIUS)
+    assert S.plan(fp, fp, S.RADIUS) and not S.plan(fp[:300], fp[:300], S.RADIUS)
+    assert not S.plan(fp & np.uint64(1), fp & np.uint64(1), S.RADIUS)
+    for parts in S.PARTS:
+        for word in range(4):
+            assert sum(t[3] for t in S.tables(S.RADIUS, parts) if t[0] == word) == 64
+        assert sum(t[4] + 1 for t in S.tables(S.RADIUS, parts)) == S.RADIUS + 1
+
+
+def test_forest_in_shares_and_blocks(spark, monkeypatch):
+    """Shares of a block, and several blocks, give the groups that brute force gives, by buckets too."""
+    fp = planted(900, S.RADIUS)
+    want = S.forest(fp, None, S.RADIUS)
+    monkeypatch.setattr(S, "PAIR_NS", 1e12)
+    monkeypatch.setattr(S, "PARTS", (6,))
+    assert (S.forest(fp, None, S.RADIUS) == want).all() and len(set(want.tolist())) < len(fp)
+    monkeypatch.setattr(S, "BLOCK_MIN", 8)
+    monkeypatch.setattr(S, "BLOCK_MAX", 24)
+    texts = corpus(40, 5)
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.group_id for r in S.near_groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
