@@ -10,8 +10,8 @@ each other. So one meeting in a table is two matches already, and keys are selec
 as tables grow. Two meetings whose transforms agree make a candidate, which is compared by all corners of either image.
 Only keys and places are shuffled, once a table.
 
-A key that more than ``HOT`` features share joins each of them with the ``HUBS`` features of least image hash alone: the order is the
-same in all tables, so a large group of copies meets the same hubs everywhere and hangs together, without all its pairs.
+A key that more than ``HOT`` features share is joined in blocks of about so many, each pair of blocks by itself: all its features
+meet, as under any other key, in tasks of bounded size. Meetings grow with the square of the features that share a key.
 Images equal byte by byte are collapsed before, so copies of one image are linear in their number.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.llm.shared import configure, stored
@@ -37,8 +37,8 @@ NEAR, REACH, TABLES, KEY = 4, 40.0, 3, 13
 #: parts into which the direction, and the turn, of a feature's second corner are divided; ratio of its distances
 SECTORS, RING = 12, 1.4
 RADIUS = 40
-#: features of a key that are joined with all others of it, at most; features that the others of a larger key are joined with
-HOT, HUBS = 2000, 8
+#: features of a key that are joined in one task, about; those of a larger key are dealt to blocks
+HOT = 2000
 #: features that share a cell of the search for hot keys, on average, and from how many on a cell is searched
 CELL, FULL = 400, 4000
 #: matches that agree, and how far in pixels they may be off
@@ -428,16 +428,17 @@ def candidates(once: DataFrame) -> DataFrame:
     if full.isEmpty():
         met = one.join(two, "key").where("i < j").select("i", "j", meeting(F.col("p"), F.col("q")))
     else:
-        hot = stored(features_.withColumn("cell", cell).join(full, "cell").groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot")
+        hot = stored(features_.withColumn("cell", cell).join(full, "cell").groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("n")), "hot")
         cold = features_.join(hot, "key", "left_anti")
         one, two = (cold.select("key", F.col("img").alias(i), F.col("place").alias(p)) for i, p in (("i", "p"), ("j", "q")))
-        warm = features_.join(hot, "key", "left_semi")
-        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("img"), "img", "place"))
-        hubs = warm.withColumn("n", nth).where(F.col("n") <= HUBS).select("key", F.col("img").alias("j"), F.col("place").alias("q"))
-        with_hubs = warm.select("key", F.col("img").alias("i"), F.col("place").alias("p")).join(hubs, "key").where("i <> j")
+        # a hot key's features in n blocks, each pair of blocks (x, y), x <= y, a group of its own
+        warm = features_.join(hot, "key").withColumn("x", F.pmod(F.xxhash64("img", "place"), F.col("n")).cast("int"))
+        left = warm.select("key", F.col("img").alias("i"), F.col("place").alias("p"), "x", F.explode(F.sequence("x", F.col("n") - 1)).alias("y"))
+        right = warm.select("key", F.col("img").alias("j"), F.col("place").alias("q"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), "x")).alias("x"))
+        within = left.join(right, ["key", "x", "y"]).where("i < j or i > j and x < y")
         swap = F.col("i") > F.col("j")
-        with_hubs = with_hubs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(swap, meeting(F.col("q"), F.col("p"))).otherwise(meeting(F.col("p"), F.col("q"))).alias("t"))
-        met = one.join(two, "key").where("i < j").select("i", "j", meeting(F.col("p"), F.col("q"))).unionByName(with_hubs)
+        within = within.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(swap, meeting(F.col("q"), F.col("p"))).otherwise(meeting(F.col("p"), F.col("q"))).alias("t"))
+        met = one.join(two, "key").where("i < j").select("i", "j", meeting(F.col("p"), F.col("q"))).unionByName(within)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 2_000_000)
     return met.repartition(parts, "i", "j").sortWithinPartitions("i", "j", "t").mapInArrow(agreeing, "i bigint, j bigint")
 
@@ -446,8 +447,7 @@ def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image"
     """``(a, b, matches, inliers, scale, rotation, dx, dy)``: pairs of images of which one is a copy of the other, a < b.
 
     The transform takes places in a to places in b. Images equal byte by byte are paired with the least id among them alone,
-    as identical (null matches and inliers), and only that one is compared with others; in groups of more than ``HOT`` edited
-    copies, each is paired with some of the others, which hold the group together. Rows with a null id or image are left
+    as identical (null matches and inliers), and only that one is compared with others. Rows with a null id or image are left
     out, repeated rows count once, and of an id with several images the one with the least hash is compared; what is no PGM image,
     and what has no corners, is paired only with what is identical to it. An empty table gives none. Other columns, whatever their names, are ignored.
     """
