@@ -85,3 +85,14 @@ def test_empty_tables(spark, tmp_path):
     for name, kind in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_copies_stage_leaves_most_pairs_out():
+    """The third stage compares few pairs of differing texts by all bits, in tasks that are nearly equal."""
+    from gritstone.llm import simhash
+
+    fp = test_simhash.planted(16_000, simhash.RADIUS)
+    parts = simhash.plan(fp, fp, simhash.RADIUS)
+    assert parts
+    sizes = [sum(len(a) for a, _ in simhash.word_pairs(fp, None, simhash.RADIUS, parts, k, 3)) for k in range(3)]
+    assert sum(sizes) < 0.01 * len(fp) * (len(fp) - 1) / 2 and max(sizes) < 1.5 * min(sizes)
