@@ -325,6 +325,7 @@ def unpack(t: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def meeting(p: Column, q: Column) -> Column:
     """Two packed places in one number: both spots, both levels, the turn from the first to the second."""
+    p, q = p.cast("bigint"), q.cast("bigint")  # a literal may be narrower, and shifts wrap
     spot = lambda x: F.shiftright(x, 8)
     level = lambda x: F.shiftright(x, 5).bitwiseAND(7)
     turn = F.pmod(q.bitwiseAND(31) - p.bitwiseAND(31), F.lit(TURNS))
