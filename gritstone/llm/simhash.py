@@ -27,12 +27,14 @@ from gritstone.llm.shared import components, configure, id_key, stored
 WORDS = 4
 RADIUS = 66
 TILE = 256
-#: rows of a block, at most; tasks that a block is compared in, together, and rows from which on they are that many
-BLOCK_MAX, SLICES, BLOCK_MIN = 1 << 20, 12, 2048
+#: rows of a block, at most, and half of those that are one block; tasks that a block is compared in, together, and rows from which on they are that many
+BLOCK_MAX, SLICES, BLOCK_MIN = 3 << 19, 12, 2048
 #: parts that a word may be cut into; nanoseconds, as measured, of a pair by all bits, a pair by one word, a row looked up, and a bucket
 PARTS, PAIR_NS, WORD_NS, ROW_NS, BUCKET_NS = (4, 5, 6, 7, 8), 15.0, 2.7, 8.0, 60_000.0
-#: pairs compared at once; candidates held before they are compared by all bits
-AT_ONCE, HELD = 1 << 17, 1 << 18
+#: pairs compared at once, and how often they are halved before they are looked at; candidates held before they are compared by all bits, links held before they are joined
+AT_ONCE, FOLDS, HELD, LINKS = 1 << 18, 5, 1 << 18, 1 << 15
+#: rows of a bucket that are compared before links are looked up again; linked ones among them from which on they aren't compared with each other
+SLAB, CROWD = 256, 48
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
@@ -199,13 +201,14 @@ def plan(x: np.ndarray, y: np.ndarray, radius: int) -> int:
     return best
 
 
-def word_pairs(x: np.ndarray, y: np.ndarray | None, radius: int, parts: int, nth: int = 0, of: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def word_pairs(x: np.ndarray, y: np.ndarray | None, radius: int, parts: int, nth: int = 0, of: int = 1, linked: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of x and y (of x with itself if y is None), all those within the radius among them, that are near in one word.
 
-    Some come several times. Of the buckets of x, every ``of``-th is taken, from the ``nth`` on.
+    Some come several times. Of the buckets of x, every ``of``-th is taken, from the ``nth`` on. ``linked``: parents of rows that are known
+    to be linked, the rows of x and those of y in them; of such rows, pairs may be left out. The caller may go on writing to the parents.
     """
     own = y is None
-    xor, count, near = np.empty(AT_ONCE, np.uint64), np.empty(AT_ONCE, np.uint8), np.zeros(AT_ONCE, bool)
+    near = _Near()
     for word, within, shift, width, far in tables(radius, parts):
         around = ball(width, far).astype(np.uint32)
         sides = []
@@ -226,29 +229,63 @@ def word_pairs(x: np.ndarray, y: np.ndarray | None, radius: int, parts: int, nth
                 continue
             at_ = np.repeat(yfirst[others] - end + n, n)
             at_ += np.arange(end[-1])
-            v = yv[at_]
-            rows = max(8, AT_ONCE // len(v))
-            for i in range(xfirst[b], xfirst[b] + xsize[b], rows):
-                u = xv[i : min(i + rows, xfirst[b] + xsize[b]), None]
-                step = AT_ONCE // len(u)
-                for j in range(0, len(v), step):
-                    w = v[None, j : j + step]
-                    shape, size = (len(u), w.shape[1]), len(u) * w.shape[1]
-                    np.bitwise_xor(u, w, out=xor[:size].reshape(shape))
-                    np.bitwise_count(xor[:size], out=count[:size])
-                    np.less_equal(count[:size], within, out=near[:size])
-                    near[size : size + 7] = False
-                    # eight at a time, as nearly all are false
-                    hit = np.flatnonzero(near[: (size + 7) // 8 * 8].view(np.uint64))
-                    if len(hit):
-                        k, l = np.nonzero(near[: (size + 7) // 8 * 8].reshape(-1, 8)[hit])
-                        p, q = np.divmod(hit[k] * 8 + l, shape[1])
-                        p, q = xo[p + i], yo[at_[q + j]]
+            v, last = yv[at_], xfirst[b] + xsize[b]
+            for i in range(xfirst[b], last, SLAB):
+                rows = np.arange(i, min(i + SLAB, last))
+                for left, right in _apart(xo[rows], yo[at_], linked) if linked and len(rows) >= CROWD else ((slice(None), slice(None)),):
+                    for p, q in near.pairs(xv[rows[left]], v[right], within):
+                        p, q = xo[rows[left][p]], yo[at_[right][q]]
                         if own:
                             p, q = p[p != q], q[p != q]
                         yield p, q
 
 
+def _apart(p: np.ndarray, q: np.ndarray, linked: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray | slice, np.ndarray | slice]]:
+    """Selections of p and of q that together have all pairs but those of crowds: ``CROWD`` rows of p or more that are linked, and what of q is linked to them."""
+    parent, px, py = linked
+    root, which, n = np.unique(parent[px[p]], return_inverse=True, return_counts=True)
+    crowd = n >= CROWD
+    if not crowd.all():
+        yield np.flatnonzero(~crowd[which]), slice(None)
+    if crowd.any():
+        roots = parent[py[q]]
+        for k in np.flatnonzero(crowd):
+            yield np.flatnonzero(which == k), np.flatnonzero(roots != root[k])
+
+
+class _Near:
+    """Compares words all with all, in arrays that are used again."""
+
+    def __init__(self) -> None:
+        self.xor, self.count, self.low = np.empty(AT_ONCE, np.uint64), np.empty(AT_ONCE, np.uint8), np.empty(AT_ONCE, np.uint8)
+        self.folds = np.arange(1 << FOLDS)[:, None]
+
+    def pairs(self, x: np.ndarray, y: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs of words that differ in at most ``within`` bits."""
+        rows = max(8, AT_ONCE // max(1, len(y)))
+        for i in range(0, len(x), rows):
+            u = x[i : i + rows, None]
+            step = AT_ONCE // len(u)
+            for j in range(0, len(y), step):
+                w = y[None, j : j + step]
+                shape, size = (len(u), w.shape[1]), len(u) * w.shape[1]
+                np.bitwise_xor(u, w, out=self.xor[:size].reshape(shape))
+                np.bitwise_count(self.xor[:size], out=self.count[:size])
+                fold = -(-size >> FOLDS)
+                self.count[size : fold << FOLDS] = 255
+                # the least of each few is looked at first, as nearly all are far
+                low, end = self.count[: fold << FOLDS], 0
+                for k in range(FOLDS):
+                    half = len(low) // 2
+                    low = np.minimum(low[:half], low[half:], out=self.low[end : end + half])
+                    end += half
+                hit = np.flatnonzero(low <= within)
+                if len(hit):
+                    hit = (hit + self.folds * fold).ravel()
+                    p, q = np.divmod(hit[self.count[hit] <= within], shape[1])
+                    yield p + i, q + j
+
+
 def forest(fp: np.ndarray, left: np.ndarray | None, radius: int, nth: int = 0, of: int = 1) -> np.ndarray:
     """Parents of rows ordered by population count, linked where they are within the radius: all with all, or those left with the others.
 
@@ -261,26 +298,31 @@ def forest(fp: np.ndarray, left: np.ndarray | None, radius: int, nth: int = 0, o
         return parent
     fx, fy = (fp, None) if left is None else (fp[x], fp[y])
     parts = plan(fx, fx if fy is None else fy, radius)
-    pairs = word_pairs(fx, fy, radius, parts, nth, of) if parts else near_pairs(fx, fy, radius, nth, of)
+    pairs = word_pairs(fx, fy, radius, parts, nth, of, (parent, x, y)) if parts else near_pairs(fx, fy, radius, nth, of)
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    links: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
 
-    def settle() -> None:
-        a, b = x[np.concatenate([h[0] for h in held])], y[np.concatenate([h[1] for h in held])]
-        open_ = parent[a] != parent[b]
-        a, b = a[open_], b[open_]
-        on = population(fp[a] ^ fp[b]) <= radius
-        if on.any():
-            _find(parent, a[on], b[on])
+    def settle(least: int) -> None:
+        """Compares by all bits what is held, and joins the links if there are ``least``."""
+        if held:
+            a, b = x[np.concatenate([h[0] for h in held])], y[np.concatenate([h[1] for h in held])]
+            open_ = parent[a] != parent[b]
+            a, b = a[open_], b[open_]
+            on = population(fp[a] ^ fp[b]) <= radius
+            links.append((a[on], b[on]))
+            held.clear()
+        if sum(len(k[0]) for k in links) >= least:  # joining goes over all parents, so few links wait for more
+            _find(parent, np.concatenate([k[0] for k in links]), np.concatenate([k[1] for k in links]))
+            links.clear()
 
     for pair in pairs:
         held.append(pair)
         n += len(pair[0])
         if n >= HELD:
-            settle()
-            held, n = [], 0
-    if held:
-        settle()
+            settle(LINKS)
+            n = 0
+    settle(1)
     return parent
 
 
@@ -289,15 +331,23 @@ def population(fp: np.ndarray) -> np.ndarray:
 
 
 def _compare(radius: int):
-    def f(table: pa.Table) -> pa.Table:
-        fp = np.stack([table[f"f{k}"].to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
-        item, left = table["item"].to_numpy(), table["left"].to_numpy().astype(bool)
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # batch by batch, so that a block isn't held in both forms
+        fps, items, lefts, how = [], [], [], (True, 0, 1)
+        for t in batches:
+            if t.num_rows:
+                fps.append(np.stack([t.column(f"f{k}").to_numpy().view(np.uint64) for k in range(WORDS)], axis=1))
+                items.append(t.column("item").to_numpy().copy())
+                lefts.append(t.column("left").to_numpy(zero_copy_only=False))
+                how = tuple(t.column(c)[0].as_py() for c in ("own", "nth", "of"))
+        fp, item, left = np.concatenate(fps), np.concatenate(items), np.concatenate(lefts)
+        fps, items, lefts = [], [], []
         order = np.lexsort((item, population(fp)))
         fp, item, left = fp[order], item[order], left[order]
-        own, nth, of = (table[c][0].as_py() for c in ("own", "nth", "of"))
+        own, nth, of = how
         parent = forest(fp, None if own else left, radius, nth, of)
         tied = np.flatnonzero(parent != np.arange(len(item)))
-        return pa.table({"a": item[tied], "b": item[parent[tied]]})
+        yield pa.RecordBatch.from_pydict({"a": item[tied], "b": item[parent[tied]]})
 
     return f
 
@@ -325,7 +375,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFra
     key = ["f0", "f1", "f2", "f3", "n"]
     items = stored(fps.where("n is not null").groupBy(*key).agg(F.min("id").alias("least")).withColumn("item", F.monotonically_increasing_id()), "items")
     n = items.count()
-    blocks = max(1, -(-n // BLOCK_MAX))
+    # the larger a block, the more rows share the cost of a bucket; two blocks in a task are as large as one alone
+    blocks = 1 if n <= 2 * BLOCK_MAX else -(-n // BLOCK_MAX)
     of = max(1, min(SLICES // blocks, n // BLOCK_MIN))
     tasks = [(b, o, nth) for b in range(blocks) for o in range(b, blocks) for nth in range(of)]
     # numbers that hash to partitions of their own, so that no task waits for another; any number does where one is missing

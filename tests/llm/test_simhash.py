@@ -163,3 +163,26 @@ def test_forest_in_shares_and_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.group_id for r in S.near_groups(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_crowds_are_not_compared_once_linked(monkeypatch):
+    """A group's rows are compared with each other until they are linked, not in all tables; what else is near still joins."""
+    r = np.random.default_rng(4)
+    bits = np.repeat(r.integers(0, 2, (1, 256), np.uint8), 1200, axis=0)
+    for row_ in bits[1:]:
+        row_[r.choice(256, 2, replace=False)] ^= 1
+    for k, row_ in enumerate(bits[-40:]):
+        row_[r.choice(256, S.RADIUS - k % 8, replace=False)] ^= 1
+    fp = np.concatenate([np.packbits(bits, axis=1).view(np.uint64), planted(400, S.RADIUS)])
+    fp = fp[np.argsort(S.population(fp), kind="stable")]
+    monkeypatch.setattr(S, "plan", lambda x, y, radius: 0)
+    want = S.forest(fp, None, S.RADIUS)
+    left = r.random(len(fp)) < 0.5
+    across = S.forest(fp, left, S.RADIUS)
+    seen, pairs = [], S.word_pairs
+    monkeypatch.setattr(S, "plan", lambda x, y, radius: 4)
+    monkeypatch.setattr(S, "HELD", 4096)
+    monkeypatch.setattr(S, "word_pairs", lambda *a: (seen.append(len(p[0])) or p for p in pairs(*a)))
+    assert (S.forest(fp, None, S.RADIUS) == want).all()
+    assert sum(seen) < 3 * 1200 * 1200
+    assert (S.forest(fp, left, S.RADIUS) == across).all()
