@@ -17,6 +17,7 @@ Images equal byte by byte are collapsed before, so copies of one image are linea
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ RADIUS = 40
 HOT = 2000
 #: features that share a cell of the search for hot keys, on average, and from how many on a cell is searched
 CELL, FULL = 400, 4000
+#: rows that a partition of features, or of meetings, has, about: what a task sorts in memory; images whose features are made at once
+ROWS, IMAGES = 400_000, 250
 #: matches that agree, and how far in pixels they may be off
 MIN_INLIERS, TOLERANCE = 6, 3.0
 TURNS = 24
@@ -202,19 +205,24 @@ def described(rows: list[bytes | None]) -> tuple[np.ndarray, ...]:
     return tuple(c[by_row] for c in cols)
 
 
-_CORNERS = "array<struct<x:float,y:float,s:float,turn:int,d0:bigint,d1:bigint,d2:bigint,d3:bigint>>"
+_SEEN = "struct<h:string,c:array<struct<x:float,y:float,s:float,turn:int,d0:bigint,d1:bigint,d2:bigint,d3:bigint>>>"
 
 
-def corners(image: Column) -> Column:
-    """Array of an image's corners; empty for nulls, for what is no image and for images without corners."""
+def seen(image: Column) -> Column:
+    """An image's SHA-256 and the array of its corners; null for null, no corners for what is no image and for images without.
 
-    @F.arrow_udf(_CORNERS)
-    def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for arr in batches:
-            i, x, y, s, turn, d = described(arr.to_pylist())
-            cols = [pa.array(x, pa.float32()), pa.array(y, pa.float32()), pa.array(s, pa.float32()), pa.array(turn, pa.int32()), *[pa.array(d[:, k], pa.int64()) for k in range(4)]]
-            items = pa.StructArray.from_arrays(cols, names=["x", "y", "s", "turn", "d0", "d1", "d2", "d3"])
-            yield pa.ListArray.from_arrays(np.searchsorted(i, np.arange(len(arr) + 1)).astype(np.int32), items)
+    Both come from one function that takes the image alone and no iterator, so that a function that makes the image is chained to
+    it: one worker a task then does both, and such images don't pass through the JVM.
+    """
+
+    @F.arrow_udf(_SEEN)
+    def f(arr: pa.Array) -> pa.Array:
+        rows = arr.to_pylist()
+        i, x, y, s, turn, d = described(rows)
+        cols = [pa.array(x, pa.float32()), pa.array(y, pa.float32()), pa.array(s, pa.float32()), pa.array(turn, pa.int32()), *[pa.array(d[:, k], pa.int64()) for k in range(4)]]
+        items = pa.StructArray.from_arrays(cols, names=["x", "y", "s", "turn", "d0", "d1", "d2", "d3"])
+        h = pa.array([None if r is None else hashlib.sha256(r).hexdigest() for r in rows], pa.string())
+        return pa.StructArray.from_arrays([h, pa.ListArray.from_arrays(np.searchsorted(i, np.arange(len(arr) + 1)).astype(np.int32), items)], names=["h", "c"], mask=pc.is_null(arr))
 
     return f(image)
 
@@ -334,7 +342,7 @@ def meeting(p: Column, q: Column) -> Column:
 
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every feature of ``(img, c)`` in every table, as ``(key, img, place)``."""
-    for batch in batches:
+    for batch in (b.slice(a, IMAGES) for b in batches for a in range(0, b.num_rows, IMAGES)):
         image, place, bits = arrays(batch["c"])
         one, between, keys = features(image, place, bits)
         img, at_ = batch["img"].to_numpy()[image[one]], pack(between)
@@ -390,7 +398,6 @@ _COPY = "struct<matches:int,inliers:int,scale:double,rotation:double,dx:double,d
 def compared(one: Column, two: Column, radius: int, min_inliers: int) -> Column:
     """What two images' corners have in common, all of one with all of the other; null if too few matches agree."""
 
-    @F.arrow_udf(_COPY)
     def f(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         names = ("matches", "inliers", "scale", "rotation", "dx", "dy")
         kind = pa.struct([*((k, pa.int32()) for k in names[:2]), *((k, pa.float64()) for k in names[2:])])
@@ -413,7 +420,8 @@ def compared(one: Column, two: Column, radius: int, min_inliers: int) -> Column:
                 out.append(dict(zip(names, (len(u), *map(float, c)))) | {"inliers": c[0]} if c[0] >= min_inliers else None)
             yield pa.array(out, kind)
 
-    return f(one, two)
+    # else the optimizer would have it run twice, in a worker more, once for a filter on its result
+    return F.arrow_udf(f, _COPY).asNondeterministic()(one, two)
 
 
 def candidates(once: DataFrame) -> DataFrame:
@@ -425,12 +433,14 @@ def candidates(once: DataFrame) -> DataFrame:
     cells = max(1, rows // CELL)
     cell = F.pmod(F.col("key"), F.lit(cells))
     full = stored(features_.groupBy(cell.alias("cell")).count().where(F.col("count") > FULL).select("cell"), "cells")
-    one, two = (features_.select("key", F.col("img").alias(i), F.col("place").alias(p)) for i, p in (("i", "p"), ("j", "q")))
+    # the joins' tasks hold both sides sorted, so there are as many as the features ask for, whatever the session's number
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+    one, two = (features_.repartition(parts, "key").select("key", F.col("img").alias(i), F.col("place").alias(p)) for i, p in (("i", "p"), ("j", "q")))
     if full.isEmpty():
         met = one.join(two, "key").where("i < j").select("i", "j", meeting(F.col("p"), F.col("q")))
     else:
         hot = stored(features_.withColumn("cell", cell).join(full, "cell").groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("n")), "hot")
-        cold = features_.join(hot, "key", "left_anti")
+        cold = features_.join(hot, "key", "left_anti").repartition(parts, "key")
         one, two = (cold.select("key", F.col("img").alias(i), F.col("place").alias(p)) for i, p in (("i", "p"), ("j", "q")))
         # a hot key's features in n blocks, each pair of blocks (x, y), x <= y, a group of its own
         warm = features_.join(hot, "key").withColumn("x", F.pmod(F.xxhash64("img", "place"), F.col("n")).cast("int"))
@@ -440,7 +450,6 @@ def candidates(once: DataFrame) -> DataFrame:
         swap = F.col("i") > F.col("j")
         within = within.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(swap, meeting(F.col("q"), F.col("p"))).otherwise(meeting(F.col("p"), F.col("q"))).alias("t"))
         met = one.join(two, "key").where("i < j").select("i", "j", meeting(F.col("p"), F.col("q"))).unionByName(within)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 2_000_000)
     return met.repartition(parts, "i", "j").sortWithinPartitions("i", "j", "t").mapInArrow(agreeing, "i bigint, j bigint")
 
 
@@ -453,8 +462,9 @@ def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image"
     and what has no corners, is paired only with what is identical to it. An empty table gives none. Other columns, whatever their names, are ignored.
     """
     configure(images.sparkSession)
-    rows = images.where(F.col(id_col).isNotNull() & F.col(image_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(F.col(image_col), 256).alias("h"), corners(F.col(image_col)).alias("c"))
-    all_ = stored(rows.withColumn("img", F.monotonically_increasing_id()), "corners")
+    # nulls are left out of what is stored, as a filter before that would have the images made twice
+    rows = images.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), seen(F.col(image_col)).alias("s"))
+    all_ = stored(rows.select("id", "s.h", "s.c", F.monotonically_increasing_id().alias("img")), "corners").where("h is not null")
     names = all_.select("id", "h", "img")
     least = names.groupBy("h").agg(F.min(F.struct("id", "img")).alias("m"), F.max("id").alias("z")).select("h", F.col("m.id").alias("a"), "m.img", "z")
     same = names.select("id", "h").distinct().join(least.where("a < z"), "h").where("id > a").select("a", F.col("id").alias("b"))
@@ -518,8 +528,7 @@ def pictures(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     both = rows.join(before, "image_id", "left").select("image_id", F.when((F.pmod(h, F.lit(4)) == 0) & F.col("w").isNotNull(), F.col("w")).otherwise(F.col("v")).alias("v"), F.when((F.pmod(h, F.lit(4)) == 0) & F.col("w").isNotNull(), F.pmod(F.shiftright(h, 8), F.lit(6)).cast("int")).otherwise(F.lit(0)).alias("e"))
 
     @F.arrow_udf("binary")
-    def draw(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for v, e in batches:
-            yield pa.array([encode(picture(np.array(x, np.float32), k)) if x and None not in x else None for x, k in zip(v.to_pylist(), e.to_pylist())], pa.binary())
+    def draw(v: pa.Array, e: pa.Array) -> pa.Array:
+        return pa.array([encode(picture(np.array(x, np.float32), k)) if x and None not in x else None for x, k in zip(v.to_pylist(), e.to_pylist())], pa.binary())
 
     return both.select("image_id", draw(F.col("v"), F.col("e")).alias("image"))

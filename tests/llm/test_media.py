@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gritstone.llm import media as M
@@ -144,6 +145,39 @@ def test_hot_keys_lose_no_pair(spark, monkeypatch):
     assert {(x.a, x.b) for x in got} == {(a, b) for a in group for b in group if a < b}
 
 
+def test_work_is_done_once_and_in_bounded_parts(spark, monkeypatch, tmp_path):
+    """Filters don't have images made, or pairs compared, again in another worker; joins get tasks by the number of features."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    log, images = str(tmp_path / "made"), [M.encode(M.picture(v)) for v in VECTORS[:3]] + [M.encode(M.picture(v, 1)) for v in VECTORS[:3]]
+
+    @F.arrow_udf("binary")
+    def made(k: pa.Array) -> pa.Array:
+        with open(log, "a") as f:
+            f.write("x" * len(k))
+        return pa.array([images[i] for i in k.to_pylist()], pa.binary())
+
+    plans = {}
+
+    def spy(df, what, real=M.stored):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, what)
+
+    monkeypatch.setattr(M, "stored", spy)
+    monkeypatch.setattr(M, "ROWS", 100, raising=False)
+    found = M.copies(spark.range(6).select(F.col("id").alias("image_id"), made(F.col("id")).alias("image")))
+    assert {(r.a, r.b) for r in found.collect()} == {(0, 3), (1, 4), (2, 5)}
+    with open(log) as f:
+        assert len(f.read()) == 6
+    python = [p.count("ArrowEvalPython [") for p in (plans["corners"], found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])]
+    assert python == [1, 1]
+    features = sum(len(M.features(i, np.stack(rest[:4], axis=1).astype(float), rest[4].view(np.uint64))[0]) for i, *rest in [M.described(images)]) * M.TABLES
+    tasks = [int(n) for n in re.findall(r"hashpartitioning\(key#\d+L?, (\d+)\)", plans["candidates"])]
+    assert tasks and min(tasks) >= features / 100 > 4
+
+
 def test_places_fit_in_a_number(spark):
     from pyspark.sql import functions as F
 
