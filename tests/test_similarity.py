@@ -131,3 +131,30 @@ def test_one_pass_gives_pairs_and_maxima(spark):
     both = S.pairs_and_maxima(rows, 0.3, block_bytes=8 * 64)
     assert sorted(map(tuple, both.where("j is not null").collect())) == sorted(map(tuple, S.pairs(rows, 0.3, block_bytes=8 * 64).collect()))
     assert sorted(map(tuple, S.maxima_of(both).collect())) == sorted(map(tuple, S.max_similarity(rows).collect()))
+
+
+def test_a_task_hands_on_all_its_pairs_in_small_batches():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(4).normal(size=(3000, 4))
+    block = pa.table({"ord": np.arange(3000), "v": x.tolist()})
+    tracemalloc.start()
+    sizes = [len(batch) for batch in S._found(block, None, None, None, maxima=False)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 4.5 million pairs are 108 MB; one by one they take less
+    assert sum(sizes) == 3000 * 2999 // 2 and max(sizes) <= S.OUT_ROWS and peak < 30e6
+
+
+def test_shown_scores_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    x = [0.0000005, -0.0000005, 0.4000005, -1e-9, 1.0, -0.1234565, 0.49999999999999994e-6]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6) + 0.0", [v]).fetchone()[0] for v in x]
+    assert list(map(repr, S._rounded(np.array(x), 6).tolist())) == list(map(repr, want))
+    rows = S.cosine_rows(table(spark, np.random.default_rng(5).normal(size=(50, 3))))
+    whole = {(r.i, r.j): r.score for r in S.pairs(rows, block_bytes=8 * 64).collect()}
+    shown = {(r.i, r.j): r.score for r in S.pairs(rows, block_bytes=8 * 64, digits=6).collect()}
+    assert shown.keys() == whole.keys() and all(shown[k] == round(v, 6) for k, v in whole.items())
