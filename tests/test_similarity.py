@@ -158,3 +158,18 @@ def test_shown_scores_are_rounded_as_in_sql(spark):
     whole = {(r.i, r.j): r.score for r in S.pairs(rows, block_bytes=8 * 64).collect()}
     shown = {(r.i, r.j): r.score for r in S.pairs(rows, block_bytes=8 * 64, digits=6).collect()}
     assert shown.keys() == whole.keys() and all(shown[k] == round(v, 6) for k, v in whole.items())
+
+
+def test_symmetrized_rows_are_sent_as_stored_and_once(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(60, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), x[i - 1].tolist() if i % 7 else None) for i, v in enumerate(x)], "i long, q array<float>, p array<float>")
+    rows = S.symmetrized_rows(df, "i", "q", "p", 4)
+    assert [f.dataType.simpleString() for f in rows.schema] == ["bigint", "array<float>", "array<float>"]
+    # before, every block was sent all rows, as doubles and in both orders: 8 blocks of 60 rows, 128 bytes each
+    seen = S._blocks(rows, 32 * 4 * 8).selectExpr("count(*) AS n", "sum(length(data)) AS size").first()
+    assert seen.n == 8 and seen.size < 60 * 40 + 8 * 1000
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    p = np.array([u[i - 1] if i % 7 else np.zeros(4) for i in range(60)])
+    want = (u @ p.T + p @ u.T) / 2
+    got = {(r.i, r.j): r.score for r in S.pairs(rows, block_bytes=32 * 4 * 8).collect()}
+    assert len(got) == 60 * 59 // 2 and all(abs(want[k] - s) < 1e-12 for k, s in got.items())
