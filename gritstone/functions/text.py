@@ -70,7 +70,22 @@ def query_text(docstring: Column, text: Column) -> Column:
 
 
 def percent(score: Column) -> Column:
-    return F.format_string("%.1f%%", score * 100)
+    """``%.1f%%`` as in C and Python: the double itself is rounded, exact halves to even; Java rounds its shortest decimal form, halves up.
+
+    Twenty times the score is compared with the odd number between two tenths: 16 x and 4 x are exact, and so is the sum of both with its error.
+    """
+    x = F.abs(score * 100)
+    low = F.floor(x * 10)
+    big, small = x * 16, x * 4
+    total = big + small
+    beyond = (total - (2 * low + 1)) + (small - (total - big))
+    # x * 10 may itself be rounded up to the next tenth, so the odd number below counts too
+    under = (total - (2 * low - 1)) + (small - (total - big))
+    up = lambda d, n: F.when((d > 0) | ((d == 0) & (n % 2 == 1)), 1).otherwise(0)
+    tenths = low - 1 + up(under, low - 1) + up(beyond, low)
+    sign = F.when(F.signum(score) < 0, "-").otherwise("")
+    exact = F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+    return F.when(x < 1e12, exact).otherwise(F.format_string("%.1f%%", score * 100))
 
 
 def place(file: Column, line: Column, name: Column) -> Column:

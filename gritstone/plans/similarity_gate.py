@@ -114,7 +114,7 @@ def report(plans: dict[str, dict[str, DataFrame]]) -> DataFrame:
         parts.append(named(plan["neighbours"], "neighbours", null("bigint"), null("double"), F.col("message")))
         if "refactor" in plan:
             r = plan["refactor"].withColumnRenamed("ord", "i")
-            parts.append(named(r, "refactor", null("bigint"), F.col("refactor"), F.format_string("refactor index %.2f (complexity %d, %d; similarity %.1f%%)", F.col("refactor"), F.col("cc"), F.col("cog"), F.col("max_sim") * 100)))
+            parts.append(named(r, "refactor", null("bigint"), F.col("refactor"), F.format_string("refactor index %.2f (complexity %d, %d; similarity %s)", F.col("refactor"), F.col("cc"), F.col("cog"), T.percent(F.col("max_sim")))))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -362,3 +362,10 @@ def test_keys_and_truncation():
             return " ".join(ids)
 
     assert embed_batches(Short(), ["a b c d"]) == HashingProvider().embed(["a b"])
+
+
+def test_percent_rounds_the_double_itself(spark):
+    # 56.25 is a half, to even; 40.15, 41.45 and 42.65 lie beside the half that Java takes them for
+    some = [0.5625, 0.5675, 0.4015, 0.4145, 0.4265, 0.0005, 0.0, 1.0, -0.4265, 0.00049999, -1.0, 12.3456] + [k / 2000 for k in range(2001)]
+    got = [r.m for r in spark.createDataFrame([(i, x) for i, x in enumerate(some)], "i int, x double").orderBy("i").select(T.percent(F.col("x")).alias("m")).collect()]
+    assert got == [f"{x * 100:.1f}%" for x in some]
