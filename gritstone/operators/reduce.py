@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 MIN_ROWS = 10
 SEEDS, MAX_ITER, SEED = 30, 3000, 42
 MIN_FUNCTIONS = 4
+#: rows of a product in two-means, and what counts as near beside its rounding
+ROWS, NEAR = 4096, 1e-9
 
 
 def components_for(explained: list[float], variance: float) -> int:
@@ -63,27 +65,73 @@ def gram_pca(x: np.ndarray, variance: float) -> np.ndarray:
     return projected[:, :n]
 
 
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Of each row the nearest center of every run; ``centers`` is (runs, k, dimensions).
+
+    All runs' distances come from products. Where two centers are too near each other for their rounding, the differences decide.
+    """
+    runs, k, _ = centers.shape
+    labels = np.zeros((len(x), runs), np.int32)
+    weight = (centers * centers).sum(axis=2)
+    for i in range(0, len(x), ROWS):
+        part, label = x[i : i + ROWS], labels[i : i + ROWS]
+        first = second = None
+        for c in range(k):  # squared distances but for the row's own square
+            d = weight[:, c] - 2 * (part @ centers[:, c].T)
+            if first is None:
+                first, second = d, np.full(d.shape, np.inf)
+                continue
+            closer = d < first
+            second = np.where(closer, first, np.minimum(second, d))
+            first = np.where(closer, d, first)
+            label[closer] = c
+        at, run = np.nonzero(second - first <= NEAR * ((part * part).sum(axis=1)[:, None] + weight.max(axis=1)))
+        for k0 in range(0, len(at), ROWS):
+            r, q = at[k0 : k0 + ROWS], run[k0 : k0 + ROWS]
+            label[r, q] = ((part[r][:, None] - centers[q]) ** 2).sum(axis=2).argmin(axis=1)
+    return labels
+
+
+def _means(x: np.ndarray, labels: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The means of all runs' clusters, by a product; an empty cluster keeps its center."""
+    runs, k, dim = centers.shape
+    sums, sizes = np.zeros((runs, k, dim)), np.zeros((runs, k))
+    for i in range(0, len(x), ROWS):
+        part, now = x[i : i + ROWS], labels[i : i + ROWS]
+        for c in range(k):
+            own = (now == c).astype(np.float64)
+            sums[:, c] += own.T @ part
+            sizes[:, c] += own.sum(axis=0)
+    return np.where(sizes[:, :, None] > 0, sums / np.maximum(sizes, 1)[:, :, None], centers)
+
+
 def two_means(x: np.ndarray, k: int = 2, seeds: int = SEEDS, max_iter: int = MAX_ITER, seed: int = SEED) -> np.ndarray:
-    """Labels of the best of ``seeds`` runs (k-means++ starts); all 0 below k points."""
+    """Labels of the best of ``seeds`` runs (k-means++ starts); all 0 below k points. The runs go on side by side."""
     if len(x) < k:
         return np.zeros(len(x), int)
-    rng, best, kept = np.random.default_rng(seed), np.inf, np.zeros(len(x), int)
+    rng, starts = np.random.default_rng(seed), []
     for _ in range(seeds):
         centers = x[[rng.integers(len(x))]]
+        d = None
         while len(centers) < k:
-            d = ((x[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1)
+            new = ((x - centers[-1]) ** 2).sum(axis=1)
+            d = new if d is None else np.minimum(d, new)
             centers = np.vstack([centers, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
-        labels = None
-        for _ in range(max_iter):
-            d = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
-            new = d.argmin(axis=1)
-            if labels is not None and (new == labels).all():
-                break
-            labels = new
-            centers = np.stack([x[labels == c].mean(axis=0) if (labels == c).any() else centers[c] for c in range(k)])
-        cost = d[np.arange(len(x)), labels].sum()
+        starts.append(centers)
+    centers, labels, open_ = np.stack(starts), np.full((len(x), seeds), -1, np.int32), np.arange(seeds)
+    for _ in range(max_iter):
+        new = _nearest(x, centers[open_])
+        moved = (new != labels[:, open_]).any(axis=0)
+        labels[:, open_] = new
+        open_ = open_[moved]
+        if not len(open_):
+            break
+        centers[open_] = _means(x, labels[:, open_], centers[open_])
+    best, kept = np.inf, labels[:, 0]
+    for s in range(seeds):
+        cost = ((x - centers[s][labels[:, s]]) ** 2).sum(axis=1).sum()
         if cost < best - 1e-12:
-            best, kept = cost, labels
+            best, kept = cost, labels[:, s]
     return kept
 
 

@@ -369,3 +369,41 @@ def test_percent_rounds_the_double_itself(spark):
     some = [0.5625, 0.5675, 0.4015, 0.4145, 0.4265, 0.0005, 0.0, 1.0, -0.4265, 0.00049999, -1.0, 12.3456] + [k / 2000 for k in range(2001)]
     got = [r.m for r in spark.createDataFrame([(i, x) for i, x in enumerate(some)], "i int, x double").orderBy("i").select(T.percent(F.col("x")).alias("m")).collect()]
     assert got == [f"{x * 100:.1f}%" for x in some]
+
+
+def plain_two_means(x, k, seeds=R.SEEDS, max_iter=R.MAX_ITER, seed=R.SEED):
+    rng, best, kept = np.random.default_rng(seed), np.inf, np.zeros(len(x), int)
+    for _ in range(seeds if len(x) >= k else 0):
+        centers = x[[rng.integers(len(x))]]
+        while len(centers) < k:
+            d = ((x[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1)
+            centers = np.vstack([centers, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
+        labels = None
+        for _ in range(max_iter):
+            d = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
+            new = d.argmin(axis=1)
+            if labels is not None and (new == labels).all():
+                break
+            labels = new
+            centers = np.stack([x[labels == c].mean(axis=0) if (labels == c).any() else centers[c] for c in range(k)])
+        cost = d[np.arange(len(x)), labels].sum()
+        if cost < best - 1e-12:
+            best, kept = cost, labels
+    return kept
+
+
+def test_two_means_side_by_side_are_those_of_plain_loops():
+    import time
+
+    rng = np.random.default_rng(8)
+    for t in range(60):
+        x = rng.integers(0, 3, size=(rng.integers(1, 40), 3)).astype(float) if t % 2 else rng.normal(size=(rng.integers(2, 80), 4))
+        k = 2 if t % 3 else 3
+        assert R.two_means(x, k).tolist() == plain_two_means(x, k).tolist()
+    x = rng.normal(size=(5000, 60))
+    began = time.perf_counter()
+    got = R.two_means(x)
+    took = time.perf_counter() - began
+    began = time.perf_counter()
+    assert got.tolist() == plain_two_means(x, 2).tolist()
+    assert took < (time.perf_counter() - began) / 1.5  # about a fifth of the time; the old one took as long
