@@ -173,3 +173,26 @@ def test_symmetrized_rows_are_sent_as_stored_and_once(spark, monkeypatch):
     want = (u @ p.T + p @ u.T) / 2
     got = {(r.i, r.j): r.score for r in S.pairs(rows, block_bytes=32 * 4 * 8).collect()}
     assert len(got) == 60 * 59 // 2 and all(abs(want[k] - s) < 1e-12 for k, s in got.items())
+
+
+def test_exclusions_are_asked_for_pairs_found_alone(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    n, m = 300, 70  # more patterns than a word has bits; rows without flags are in no excluded pair
+    one, two = rng.random((n, m)) < 0.05, rng.random((n, m)) < 0.05
+    flags = [None if k % 50 == 3 else {"one": one[k].astype(int).tolist(), "two": two[k].astype(int).tolist()} for k in range(n)]
+    one[3::50] = two[3::50] = False
+    x = rng.normal(size=(n, 5))
+    block = pa.table({"ord": np.arange(n), "v": x.tolist(), "x": pa.array([f or {"one": [None] * m, "two": [None] * m} for f in flags])})
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = (one.astype(int) @ two.T.astype(int) + two.astype(int) @ one.T.astype(int)) > 0
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if (u @ u.T)[i, j] >= 0.9 and not out[i, j]}
+    asked, real = [], S._excluded
+    monkeypatch.setattr(S, "_excluded", lambda a, b, p, q, near: (asked.append(np.broadcast(p, q).size), real(a, b, p, q, near))[1])
+    for maxima in (False, True):
+        got = [r for batch in S._found(block, None, 0.9, None, maxima) for r in batch.to_pylist()]
+        assert {(r["i"], r["j"]) for r in got if r["j"] is not None} == want
+        if not maxima:
+            # before, of every tile whole
+            assert sum(asked) < n * n // 10
