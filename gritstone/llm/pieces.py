@@ -32,7 +32,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: characters from which on a text is split into chunks, and of a chunk; matrices of one product
 GIANT, CHUNK, FAN = 24_576, 4_096, 8
 #: distinct words that a worker remembers; beyond it starts anew, with the same results
-REMEMBER = 1_000_000
+REMEMBER = 600_000
+#: words solved in lockstep; bytes of text, or of ids, that are worked on at once
+LOCKSTEP, PART = 10_000, 1 << 20
 BLANK = "▁"
 START = (-1, 0)
 State = tuple[int, int]  # a piece and where it starts, relative to the boundary
@@ -161,8 +163,8 @@ class Pieces:
                 todo.append(i)
             else:
                 out[i] = self.encode(w)
-        for a in range(0, len(todo), 20_000):
-            part = todo[a : a + 20_000]
+        for a in range(0, len(todo), LOCKSTEP):
+            part = todo[a : a + LOCKSTEP]
             for i, ids in zip(part, self._lockstep([words[i] for i in part])):
                 out[i] = self.encode(words[i]) if ids is None else ids
         return out
@@ -511,12 +513,30 @@ def words_of(model: str) -> Words:
 
 
 _RESULT = "struct<ids:array<int>,lossless:boolean>"
+_TYPE = pa.struct([("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
 
 
 def _list(ids: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
+def _parts(arr: pa.Array, size: np.ndarray) -> Iterator[pa.Array]:
+    """Slices of at most ``PART`` in all, or of one row, so that what is made beside a batch doesn't follow its size."""
+    upto, i = np.concatenate([[0], np.cumsum(size)]), 0
+    while i < len(arr):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PART, "right")) - 1)
+        yield arr.slice(i, j - i)
+        i = j
+
+
+def _encoded(memory: Words, arr: pa.Array) -> pa.Array:
+    out = [pa.array([], _TYPE)]
+    for part in _parts(arr, pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)):
+        ids, edges, same = memory.encode(part)
+        out.append(pa.StructArray.from_arrays([_list(ids, edges), pa.array(same)], fields=list(_TYPE)))
+    return pa.concat_arrays(out)
+
+
 def encoded(text: Column, model: str = MODEL) -> Column:
     """Struct of a text's ids and whether they decode to the text; no ids for null and empty texts."""
 
@@ -524,29 +544,35 @@ def encoded(text: Column, model: str = MODEL) -> Column:
     def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = words_of(model)
         for arr in batches:
-            ids, edges, same = memory.encode(arr)
-            yield pa.StructArray.from_arrays([_list(ids, edges), pa.array(same)], names=["ids", "lossless"])
+            yield _encoded(memory, arr)
 
     return f(text)
 
 
+def _decoded(memory: Words, arr: pa.Array) -> pa.Array:
+    out = [pa.array([], pa.string())]
+    for part in _parts(arr, 4 * pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)):
+        flat, size = pc.list_flatten(part), pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        edges = np.concatenate([[0], np.cumsum(size)])
+        if flat.null_count:
+            there = np.concatenate([[0], np.cumsum(np.asarray(pc.is_valid(flat)).astype(np.int64))])
+            flat, edges = pc.drop_null(flat), there[edges]
+        number = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(number) and not (0 <= number.min() and number.max() < len(memory.v.raw)):
+            raise ValueError("an id that the vocabulary lacks")
+        raw, cut = memory.decode(number, edges)
+        out.append(_strings(raw, cut, np.asarray(pc.is_null(part))))
+    return pa.concat_arrays(out)
+
+
 def decoded(ids: Column, model: str = MODEL) -> Column:
-    """The text of an array of ids, whole batches at once; null for null, an error for ids that the vocabulary lacks. Null ids have no text."""
+    """The text of an array of ids, parts of batches at once; null for null, an error for ids that the vocabulary lacks. Null ids have no text."""
 
     @F.arrow_udf("string")
     def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = words_of(model)
         for arr in batches:
-            flat, size = pc.list_flatten(arr), pc.fill_null(pc.list_value_length(arr), 0).to_numpy().astype(np.int64)
-            edges = np.concatenate([[0], np.cumsum(size)])
-            if flat.null_count:
-                there = np.concatenate([[0], np.cumsum(np.asarray(pc.is_valid(flat)).astype(np.int64))])
-                flat, edges = pc.drop_null(flat), there[edges]
-            number = flat.to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(number) and not (0 <= number.min() and number.max() < len(memory.v.raw)):
-                raise ValueError("an id that the vocabulary lacks")
-            raw, cut = memory.decode(number, edges)
-            yield _strings(raw, cut, np.asarray(pc.is_null(arr)))
+            yield _decoded(memory, arr)
 
     return f(ids)
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -80,3 +81,28 @@ def test_decode(spark):
     df = spark.createDataFrame([(i, SP.encode(t)) for i, t in enumerate(texts)], "i int, ids array<int>")
     got = df.select("i", P.decoded(df["ids"]).alias("t")).orderBy("i").collect()
     assert [r.t for r in got] == texts
+
+
+def test_memory_beside_a_batch_does_not_follow_its_size():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gritstone.llm import pieces as P
+
+    memory = P.words_of(P.MODEL)
+    some = ["", None, "a ▁ b", "ü " * 400_000] + [f"line {k % 50} of many, again and again. " * 60 for k in range(4000)]
+    arr = pa.array(some)
+    parts = [len(x) for x in P._parts(arr, np.array([len((x or "").encode()) for x in some]))]
+    assert sum(parts) == len(some) and len(parts) > 8
+    tracemalloc.start()
+    made = P._encoded(memory, arr)
+    back = P._decoded(memory, made.field("ids"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back.to_pylist() == [(x or "").replace("▁", " ") for x in some]
+    assert made.field("lossless").to_pylist() == ["▁" not in (x or "") for x in some]
+    # 9 MB of text: whole, it took more than 300 MB
+    assert arr.nbytes > 9e6 and peak < 120e6, peak
+    ids, edges, same = memory.encode(arr)
+    assert made.equals(pa.StructArray.from_arrays([P._list(ids, edges), pa.array(same)], fields=list(P._TYPE)))
