@@ -196,3 +196,19 @@ def test_exclusions_are_asked_for_pairs_found_alone(spark, monkeypatch):
         if not maxima:
             # before, of every tile whole
             assert sum(asked) < n * n // 10
+
+
+@pytest.mark.parametrize(("kind", "maxima"), [("float32", False), ("float32", True), ("float64", False)])
+def test_a_task_takes_two_blocks_and_a_tile(kind, maxima):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    n = S.BLOCK_BYTES // 8 // 64
+    a, b = (pa.table({"ord": np.arange(n) * 2 + k, "v": pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=n * 64).astype(kind)), 64).cast(pa.list_(pa.from_numpy_dtype(kind)))}) for k in (0, 1))
+    tracemalloc.start()
+    found = sum(len(x) for x in S._found(a, b, 0.4, None, maxima))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 2 * n * maxima and peak < 60e6, peak
